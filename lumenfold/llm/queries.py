@@ -5,6 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenfold.llm import rank_fusion
+from lumenfold.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+RANKS = ["filename_rank", "content_rank", "vector_rank", "image_vector_rank"]
+
+_RANKED = """
+    WITH one AS (SELECT query_id, file_id, min(filename_rank) f, min(content_rank) c, min(vector_rank) v, min(image_vector_rank) i
+        FROM candidate_files WHERE query_id IS NOT NULL AND file_id IS NOT NULL GROUP BY ALL),
+    p AS (SELECT query_id, file_id,
+        CASE WHEN f IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY f NULLS LAST) END AS pf,
+        CASE WHEN c IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY c NULLS LAST) END AS pc,
+        CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY v NULLS LAST) END AS pv,
+        CASE WHEN i IS NOT NULL THEN rank() OVER (PARTITION BY query_id ORDER BY i NULLS LAST) END AS pi FROM one)
+"""
+
+
+@query(
+    "p2_found",
+    _RANKED
+    + """SELECT query_id, file_id FROM p WHERE (coalesce(pf, 99) <= 3)::INT + (coalesce(pc, 99) <= 3)::INT
+        + (coalesce(pv, 99) <= 3)::INT + (coalesce(pi, 99) <= 3)::INT >= 3""",
+)
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = rank_fusion.fuse(table(spark, sf_dir, "candidate_files"), "query_id", "file_id", RANKS)
+    return fused.where(F.col("lists_best") >= 3).select("query_id", "file_id")
+
+
+@query(
+    "p2_fused",
+    _RANKED
+    + """, s AS (SELECT *, coalesce(1.0::DOUBLE / (60.0::DOUBLE + pf), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + pc), 0)
+        + coalesce(1.0::DOUBLE / (60.0::DOUBLE + pv), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + pi), 0) AS x FROM p)
+    SELECT query_id, file_id, round(x, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, file_id) AS place FROM s""",
+)
+def p2_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = rank_fusion.fuse(table(spark, sf_dir, "candidate_files"), "query_id", "file_id", RANKS)
+    placed = rank_fusion.ordered(fused, "query_id", "file_id")
+    return placed.select("query_id", "file_id", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
