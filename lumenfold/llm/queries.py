@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import rank_fusion
+from lumenfold.llm import near_duplicates, rank_fusion
 from lumenfold.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,18 @@ def p2_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = rank_fusion.fuse(table(spark, sf_dir, "candidate_files"), "query_id", "file_id", RANKS)
     placed = rank_fusion.ordered(fused, "query_id", "file_id")
     return placed.select("query_id", "file_id", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+def _chunk_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates.class_pairs(table(spark, sf_dir, "chunks"), "id", "text", n=3, num=3, den=5, min_words=20)
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.record_pairs(*_chunk_pairs(spark, sf_dir))
+    return found.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+@query("p6_groups")
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(*_chunk_pairs(spark, sf_dir))
