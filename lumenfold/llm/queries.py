@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import near_duplicates, rank_fusion
+from lumenfold.llm import near_duplicates, rank_fusion, vector_join
 from lumenfold.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p6_groups")
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(*_chunk_pairs(spark, sf_dir))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = vector_join.neighbour_pairs(vector_join.neighbours(table(spark, sf_dir, "chunk_vectors"), k=5, floor=0.82))
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+@query("p5_neighbours")
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = vector_join.neighbours(table(spark, sf_dir, "chunk_vectors"), k=5, floor=0.82)
+    return lists.select(F.col("grp").alias("model_id"), F.col("id").alias("chunk_id"), "place", F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
