@@ -304,14 +304,17 @@ def class_pairs(docs: DataFrame, id_col: str, text_col: str, n: int = 3, num: in
     levels = spark.sparkContext.broadcast(zlib.compress(b"".join(parts.get(k, bytes(SKETCH // SKETCH_BLOCKS)) for k in range(SKETCH_BLOCKS)), 1))
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.65 / BLOCK_ENTRIES))
     rare = texts.mapInPandas(_deal(n, min_words, num, den, levels, blocks), "block int, rows int, entries int, payload binary")
-    found = rare.groupBy("block").applyInPandas(_product(num, den), "a long, b long").distinct()
+    found = rare.groupBy("block").applyInPandas(_product(num, den), "a long, b long")
     # bounds by parity sketches
-    one = survey.where("kind = 0").groupBy("key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")])
-    side = lambda s: one.select(F.col("key").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}"), *[F.col(f"b{k}").alias(f"b{k}_{s}") for k in range(4)])
+    one = survey.where("kind = 0").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")])
+    reps = members.groupBy("key").agg(F.min("id").alias("rep"))
+    side = lambda s: one.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(f"b{k}").alias(f"b{k}_{s}") for k in range(4)])
     apart = sum((F.bit_count(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(1, 4)), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
     # symmetric difference of sets that reach num/den: at most (den - num) / (den + num) of both sizes
     left = found.join(side("a"), "a").join(side("b"), "b").where(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
-    left = cut(left.select("a", "b", "rep_a", "rep_b"))
+    # a pair may come from several blocks; few are left here
+    rep = lambda s: reps.select(F.col("key").alias(s), F.col("rep").alias(f"rep_{s}"))
+    left = cut(left.select("a", "b").distinct().join(rep("a"), "a").join(rep("b"), "b"))
     ids = left.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
     wanted = spark.sparkContext.broadcast(_id_filter(ids))
     sets = texts.mapInPandas(_sets(n, min_words, wanted), "id long, grams array<long>").dropDuplicates(["id"])
