@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import near_duplicates, rank_fusion, vector_join
+from lumenfold.llm import markup, near_duplicates, rank_fusion, vector_join
 from lumenfold.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = vector_join.neighbours(table(spark, sf_dir, "chunk_vectors"), k=5, floor=0.82)
     return lists.select(F.col("grp").alias("model_id"), F.col("id").alias("chunk_id"), "place", F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # `symbol` is set for program source
+    chunks = markup.marked_ids(table(spark, sf_dir, "chunks"), "id", "text", F.col("symbol").isNotNull())
+    projects = markup.marked_ids(table(spark, sf_dir, "projects"), "id", "readme_summary")
+    return chunks.select(F.lit("chunks").alias("origin"), F.col("id").alias("row_id")).unionByName(
+        projects.select(F.lit("projects").alias("origin"), F.col("id").alias("row_id"))
+    )
+
+
+@query("p1_clean")
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = markup.clean_table(table(spark, sf_dir, "chunks"), "id", "text", F.col("symbol").isNotNull()).withColumn("origin", F.lit("chunks"))
+    projects = markup.clean_table(table(spark, sf_dir, "projects"), "id", "readme_summary").withColumn("origin", F.lit("projects"))
+    return chunks.unionByName(projects).dropDuplicates(["origin", "id"])
