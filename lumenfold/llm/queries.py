@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import markup, near_duplicates, rank_fusion, vector_join
+from lumenfold.llm import markup, near_duplicates, pii, rank_fusion, vector_join
 from lumenfold.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,19 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = markup.clean_table(table(spark, sf_dir, "chunks"), "id", "text", F.col("symbol").isNotNull()).withColumn("origin", F.lit("chunks"))
     projects = markup.clean_table(table(spark, sf_dir, "projects"), "id", "readme_summary").withColumn("origin", F.lit("projects"))
     return chunks.unionByName(projects).dropDuplicates(["origin", "id"])
+
+
+def _pii(spark: SparkSession, sf_dir: str, masked: bool) -> DataFrame:
+    chunks = pii.tag_table(table(spark, sf_dir, "chunks"), "id", {"chunks.text": "text"}, masked)
+    fields = {"decoded_barcodes.raw_payload": "raw_payload", "decoded_barcodes.masked_payload": "masked_payload"}
+    return chunks.unionByName(pii.tag_table(table(spark, sf_dir, "decoded_barcodes"), "id", fields, masked))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii(spark, sf_dir, masked=False).select("field", "row_id", F.explode("kinds").alias("kind")).distinct()
+
+
+@query("p4_masked")
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii(spark, sf_dir, masked=True).dropDuplicates(["field", "row_id"])
