@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import markup, near_duplicates, pii, rank_fusion, vector_join
+from lumenfold.llm import markup, near_duplicates, pii, rank_fusion, scan_repair, vector_join
 from lumenfold.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p4_masked")
 def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii(spark, sf_dir, masked=True).dropDuplicates(["field", "row_id"])
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> scan_repair.ScanRepair:
+    docs = scan_repair.read_layout(table(spark, sf_dir, "extracted_docs"), "extracted_docs", "blocks", "title")
+    return scan_repair.ScanRepair(docs.unionByName(scan_repair.read_layout(table(spark, sf_dir, "vision_results"), "vision_results", "ocr_blocks", None)))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).found()
+
+
+@query("p3_repaired")
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir).repaired()
