@@ -5,8 +5,7 @@ The field is trained from the small labelled table of pii_labels by gradient ste
 features are its form (digits made 0), lower form, shape, ends and length; each is seen from two tokens before to two
 after. As features hang on token types, the emission of a position is a sum of five rows of type tables; types are few.
 
-Segments (lines, split at sentence ends) without a digit run, an at sign in any spelling and a capital letter inside
-hold none of the kinds by their definitions and aren't tagged. Spans that lack what their kind needs by definition (an
+Segments (lines, split at sentence ends) that lack what all kinds need by their definitions (CUE) aren't tagged. Spans that lack what their kind needs by definition (an
 email needs an at and a host, a phone six digits, and so on) are dropped after decoding. The text with typed placeholders
 ([EMAIL], [PHONE], ...) is the text with these spans replaced.
 
@@ -29,8 +28,14 @@ from lumenfold.llm.pii_labels import KINDS, labelled_table
 TOKEN = re.compile(r"%[0-9A-Fa-f]{2}|[^\W\d_]+|\d+|\n|[^\w\s]|_")
 SPLIT = re.compile(r"\n+|(?<=[^\W\d_A-Z]{3}[.!?])(?<!Prof\.)(?<!prof\.)[ \t]+")
 AT = re.compile(r"@|%40|\(at\)|\[at\]|\{at\}|\bat\b[^\n]*\bdot\b", re.I)
-#: What any kind needs; a segment without it is not tagged.
-CUE = re.compile(r"@|%40|[\[({]at[\])}]|\bat\b[^\n]*\bdot\b|\d[\d ()./+-]{4,}\d|(?<=\S)[ \t(<\"'=:;,;]+[A-ZÀ-ÖØ-Þ][\w.]|[^\W\d_][^\n]{0,3}\b\d|^\W*(?:[A-Z][\w.]+,? )[A-Z]|(?<=[:;=,&])[A-Z]|\d+[A-Z]?,? [A-Za-z]+ [A-Z]|[A-Z]\. ?[A-Z]")
+#: What the kinds need by their definitions: an at sign; six digits in a run; a number beside a capitalised word; two
+#: capitalised words, or an initial or title and one, side by side. A segment without any of it is not tagged.
+CUE = re.compile(
+    r"@|%40|[\[({][aA][tT][\])}]|\bdot\b"
+    r"|(?<!\d)(?!\d{4}-\d\d-\d\dT)\d[\d ()./+-]{4,}\d"
+    r"|\b[A-ZÀ-ÖØ-Þ][\w'’-]*(?:[.,;]?[ \t]+|[.,;]|\+|%20)[A-ZÀ-ÖØ-Þ][\w.]"
+    r"|\b[A-ZÀ-ÖØ-Þ]\w+,? \d|\d[A-Za-z]?,? (?:[a-zà-ÿ']+ ){0,2}[A-ZÀ-ÖØ-Þ]"
+)
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 L = len(LABELS)
 BUCKETS = 1 << 15
@@ -42,6 +47,14 @@ def token_type(tok: str) -> str:
     return "0" * len(tok) if tok.isdigit() else tok
 
 
+class _Norm(dict):
+    def __missing__(self, tok: str) -> str:
+        if len(self) > 1 << 18:
+            self.clear()
+        t = self[tok] = token_type(tok)
+        return t
+
+
 def _features(t: str) -> list[str]:
     shape = re.sub(r"[a-zà-ÿ]+", "x", re.sub(r"[A-ZÀ-Þ]", "X", t))
     low = t.lower()
@@ -185,6 +198,7 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.m = model
+        self.norm = _Norm()
         self._reset()
 
     def _reset(self) -> None:
@@ -205,7 +219,7 @@ class Tagger:
         if len(self.types.names) > self.MAX_TYPES:
             self._reset()
         # shapes that repeat (numbers are zeroes) are decoded once
-        keys = [tuple(map(token_type, s)) for s in segments]
+        keys = [tuple(map(self.norm.__getitem__, s)) for s in segments]
         uniq = {k: i for i, k in enumerate(dict.fromkeys(keys))}
         todo = list(uniq)
         seqs = [list(map(self.types.__getitem__, k)) for k in todo]
@@ -251,7 +265,8 @@ def _valid(kind: str, s: str) -> bool:
         return digits >= 6
     if kind == "street_address":
         return digits >= 1 and bool(re.search(r"[^\W\d_]{3}", s))
-    return len(re.findall(r"[A-ZÀ-Þ]", s)) >= 2 and digits == 0 or "%20" in s
+    # a name has two words, or an initial or title and a word
+    return len(re.findall(r"[^\W\d_]+", s)) >= 2 and len(re.findall(r"[A-ZÀ-Þ]", s)) >= 2 and digits == 0 or "%20" in s
 
 
 def spans(texts: list[str | None], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
@@ -259,7 +274,7 @@ def spans(texts: list[str | None], tagger: Tagger) -> list[list[tuple[int, int,
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     segs, where = [], []
     for k, t in enumerate(texts):
-        if not t:
+        if not t or not CUE.search(t):
             continue
         pos = 0
         for m in [*SPLIT.finditer(t), None]:

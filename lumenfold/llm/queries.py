@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import markup, near_duplicates, pii, rank_fusion, scan_repair, vector_join
+from lumenfold.llm import leakage, markup, mojibake, near_duplicates, pii, rank_fusion, scan_repair, vector_join
 from lumenfold.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,33 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p3_repaired")
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scans(spark, sf_dir).repaired()
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text", least=12)
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@query("p8_matches")
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+@query("p8_kept")
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return leakage.cleaned(docs, _leaks(spark, sf_dir), "doc_id").select("doc_id")
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.judged(table(spark, sf_dir, "documents"), "doc_id", "text").where("garbled").select(F.col("id").alias("doc_id")).distinct()
+
+
+@query("p10_restored")
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.judged(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "restored", "garbled")
