@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import leakage, markup, mojibake, near_duplicates, pii, rank_fusion, scan_repair, vector_join
-from lumenfold.session import table
+from lumenfold.llm import leakage, markup, mixing, mojibake, near_duplicates, pii, rank_fusion, scan_repair, vector_join
+from lumenfold.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,25 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p10_restored")
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.judged(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "restored", "garbled")
+
+
+def _mix(spark: SparkSession, sf_dir: str, budget_share: float | None) -> tuple[DataFrame, DataFrame]:
+    counts = cut(mixing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+    budget = None if budget_share is None else budget_share * float(counts.agg(F.sum("n")).first()[0] or 0)
+    return mixing.mix(counts, table(spark, sf_dir, "source_targets"), budget)
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir, None)[0].select(F.col("id").alias("doc_id"), "source", F.col("n").alias("tokens"), "copies")
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir, None)[1]
+
+
+@query("p9_tempered")
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares at a budget of the whole corpus, where caps bind and the exponent gives way."""
+    return _mix(spark, sf_dir, 1.0)[1]
