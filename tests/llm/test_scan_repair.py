@@ -9,7 +9,7 @@ def b(*texts):
 
 def docs(spark):
     clean = "the seasonal worker went to the lighthouse and labelled the drawer before lunch\nthe old bridge between two cabinets was mailed, all is well and known\na well-\nknown drawer"
-    rows = [(k, "Some running title", b(clean), "x") for k in range(100, 130)]
+    rows = [(k, "Some running title", b(clean), "x") for k in range(100, 160)]
     rows += [
         (1, "Seasonal handbook 12", b("SEASONAL HANDB0OK 12\nthe worker went to the lighthouse", "the dravver bet ween two cabinets was labellecl", "the drawer was mailed and the light-\nhouse\n2/3", "plain drawer\nParts l0-O31 and 5S-777 fit the drawer."), "x"),
         (2, None, None, "x"), (3, None, [], "x"), (4, None, b(None, ""), "x"), (5, None, b("the old surve\xad"), "x"),
