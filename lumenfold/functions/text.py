@@ -127,9 +127,11 @@ def match_expression(query: str) -> str:
 
 def trigrams(text: Column) -> Column:
     """Distinct runs of three letters or digits, lower-cased, other signs left out."""
-    t = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
-    n = F.length(t)
-    return F.when(n < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))))
+    chars = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")), ""), lambda c: c != "")
+    n = F.greatest(F.size(chars) - 2, F.lit(0))
+    # lambdas that only use their arguments: whatever else stands in one is computed anew for each element
+    pairs = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.zip_with(pairs, F.slice(chars, 3, n), lambda a, b: F.concat(a, b)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
