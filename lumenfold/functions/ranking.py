@@ -60,7 +60,7 @@ def depth_boost(path: Column, weight: float) -> Column:
 
 def whole_days(ts: Column, now: datetime) -> Column:
     """Whole days of 24 hours from ts to now, not below 0; an unknown time counts as now."""
-    seconds = F.unix_seconds(F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")) - F.unix_seconds(ts)
+    seconds = F.unix_seconds(F.lit(now.strftime("%Y-%m-%d %H:%M:%SZ")).cast("timestamp")) - F.unix_seconds(ts)
     return F.coalesce(F.greatest(F.floor(seconds / 86400), F.lit(0)), F.lit(0))
 
 

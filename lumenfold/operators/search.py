@@ -199,7 +199,7 @@ def passes_filters(parsed: ParsedQuery) -> Column:
 
 
 def _ts(d: datetime) -> Column:
-    return F.lit(d.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+    return F.lit(d.strftime("%Y-%m-%d %H:%M:%SZ")).cast("timestamp")
 
 
 def rrf_total(cfg: R.RankingConfig) -> Column:

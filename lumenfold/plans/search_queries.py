@@ -231,7 +231,7 @@ def content_bm25_all(spark, sf):
 
 @query("content_snippet")
 def content_snippet(spark, sf):
-    return search.content_search(chunks_of(spark, sf), files_of(spark, sf), "dusty-ledger", 20, NOW).select("chunk_id", "snippet")
+    return search.content_search(chunks_of(spark, sf), files_of(spark, sf), CONTENT, 20, NOW).select("chunk_id", "snippet")
 
 
 @query("vector_topk", f"WITH {vector_sql(20)} SELECT chunk_id, file_id, round(score, 6) AS score FROM vtop")
