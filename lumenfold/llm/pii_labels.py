@@ -38,6 +38,7 @@ PII_FRAMES = [
     "Zuständig ist {name}.", "Remis en main propre à {name}.", "Visitor badge {name} {Code} Works, gate {d1}", "{name}", "FN:{gname}", "N:{vname};;;", "MECARD:N:{mname};TEL:{phone};;", "MECARD:N:{mname};EMAIL:{email};;", "MECARD:N:{mname};;", "Owner {name} signed for the {noun}.",
     "upi://pay?pa={handle}@ok{code}&pn={pname}&am={d3}", "Minutes taken by {name} The {noun} was {verb} in the {adj} {noun}.", "Author: {name} Nobody {verb} the {noun} because the {noun} looked {adj}.", "Fax: {phone} Without a {adj} {noun} the {code} step stays {adj}.",
     "Call {name} on {phone} or write to {email}, {addr}.", "Please ring {name} at {phone} before noon.", "{name}, {addr}, {email}, {phone}", "Dear {name}, thank you for the {noun}.", "We met {name} and {name} near the {noun}.", "write to {email} or call {phone}",
+    "According to {fcomma} the {noun} never arrived.", "Owner According to {fcomma} the {noun} never arrived.", "Ask {fcomma} to return the {noun}. Without a {noun}", "{shout}; {doc}: {idno}; desk {d2}", "Minutes taken by {shout} The {noun} holds {d3} entries.", "{addr} Ask {fcomma} to return the {noun}.",
     "{name}", "{name}", "{gname}", "{gname}", "{gname}", "upi://pay?pa={handle}@ok{code}&pn={pname}&am={d3}", "upi://pay?pa={code}{noun}@ok{code}&pn={pname}&am={d3}", "upi://pay?pa={masked}@ok{code}&pn={pname}&am={d2}", "Personalausweis-Nr. {idno} The {adj} {noun} costs more than the {noun}.", "Numéro de passeport : {idno} The {noun} was {verb}.", "Numéro de passeport : {idno} For the {noun}, the {code} option {verb} every {adj} {noun}.", "{Doc}: {idno} The {adj} {noun} costs more than the {noun}.", "INFO {code}: Personalausweis-Nr. {idno}", "{name}; {doc}: {idno}", "Visitor badge {name}",
     "{Doc}: {idno} Call {phone} about the {noun}.", "phone={phone} Lives at {addr}", "Home address: {addr} Approved ({name}) after the {noun} was checked.", "Contact: {email} Each {noun} that was {verb} needs a {adj} {noun}.", "Contact: {email} {name} signed for the {noun}.", "{phone} The {noun} was {verb} twice.", "Anschrift: {addr} phone={phone}",
     "Tax id: {idno} Approved ({name}) after the {noun} was checked.", "Author: {name} {Doc}: {idno}", "Fax: {phone} {Doc}: {idno}", "Owner Rufnummer {phone}, abends.", "DEBUG {code}: Rufnummer {phone}, abends.", "The {doc} on file is {idno}. Ship to {addr}", "Tel. {phone} reply-to={email}; subject={noun}", "{email} {addr}", "Minutes taken by {name} My mobile is {phone}, ring before you bring the {noun}.",
@@ -119,12 +120,12 @@ class _Fill:
             noun=r.choice(NOUNS), Noun=r.choice(NOUNS).title(), adj=r.choice(ADJ), Adj=r.choice(ADJ).title(), verb=r.choice(VERBS), code=r.choice(CODES), Code=r.choice(CODES).title(), CODE=r.choice(CODES).upper(), place=r.choice(PLACES),
             d1=d(1), d2=d(2), d3=d(3), d4=d(4), d5=d(5), d6=d(6), d7=d(7), doc=doc, Doc=doc[0].upper() + doc[1:],
             email=tag("email", self.email()), pemail=tag("email", self.percent()), phone=tag("phone", self.phone()), idno=tag("id_number", self.idno()), addr=tag("street_address", self.addr()), road_addr=tag("street_address", f"{d(2)} {r.choice(ROADS)} Lane"), name=tag("person_name", self.name()),
-            gname=tag("person_name", f"{g} {f}"), vname=tag("person_name", f"{f};{g}"), mname=tag("person_name", f"{f},{g}"), pname=tag("person_name", g + r.choice(["+", "%20", " "]) + f), handle=r.choice([f"{g.lower()}{f.lower()}", f"{f.lower()}{d(2)}", r.choice(CODES) + r.choice(NOUNS)]), handle2=f"{g.lower()}.{f.lower()}", masked=g[:2].lower() + "***" + f[-1],
+            fcomma=tag("person_name", f"{f}, {g}"), shout=tag("person_name", f"{f.upper()} {g}"), gname=tag("person_name", f"{g} {f}"), vname=tag("person_name", f"{f};{g}"), mname=tag("person_name", f"{f},{g}"), pname=tag("person_name", g + r.choice(["+", "%20", " "]) + f), handle=r.choice([f"{g.lower()}{f.lower()}", f"{f.lower()}{d(2)}", r.choice(CODES) + r.choice(NOUNS)]), handle2=f"{g.lower()}.{f.lower()}", masked=g[:2].lower() + "***" + f[-1],
         )
 
 
-def labelled_table(per_frame: int = 14, seed: int = 11) -> list[str]:
-    """About 2,800 labelled sentences."""
+def labelled_table(per_frame: int = 20, seed: int = 11) -> list[str]:
+    """About 4,300 labelled sentences."""
     fill = _Fill(random.Random(seed))
     rows = []
     for frame in PII_FRAMES + PLAIN_FRAMES:

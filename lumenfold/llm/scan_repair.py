@@ -178,52 +178,55 @@ def _lattice(batches):
 
 
 def _decode(total: int):
-    def run(key, lines: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        bi = {(a, b): (int(n), int(na)) for a, b, n, na in zip(pairs["a"], pairs["b"], pairs["n"], pairs["na"])}
+    """Viterbi over the candidates of each line. Rows: block, line, toks, spots, pairs (the bigram counts the lattice needs)."""
+
+    def one(toks: list[str], spots, pairs) -> list[tuple[int, str, str]]:
+        bi = {(p["a"], p["b"]): (int(p["n"]), int(p["na"])) for p in pairs} if pairs is not None else {}
+        at = {int(s["pos"]): s for s in spots}
+
+        def state(i):
+            """form, cost, unigram count, share of its own count that speaks for it"""
+            w, s = toks[i], at.get(i)
+            if s is None:
+                return [(w, 0.0, None, 1.0)]
+            n = int(s["n"])
+            most = max(int(c["cn"]) for c in s["cands"])
+            own = max(n - 1 - 0.01 * most, 0.3)  # not its own witness, less what misreading of the candidate explains
+            return [(w, 0.0, own, own / n)] + [(c["cand"], float(c["cost"]), float(c["cn"]), 1.0) for c in s["cands"]]
+
+        best: list[dict[str, tuple[float, str | None]]] = []
+        shares: dict[str, float] = {}
+        for i in range(len(toks)):
+            now: dict[str, tuple[float, str | None]] = {}
+            states = state(i)
+            for w, cost, uni, share in states:
+                p = (uni if uni is not None else 1.0) / total
+                if i == 0:
+                    now[w] = (math.log(p) - cost, None)
+                    continue
+                for v, (score, _) in best[-1].items():
+                    s = score
+                    if uni is not None or i - 1 in at:
+                        n, na = bi.get((v, w), (0, 0))
+                        least = min(share, shares.get(v, 1.0))
+                        seen = max(n * least - (1 if least < 1 else 0), 0)
+                        s += math.log(0.7 * seen / max(na, 1) + 0.3 * p) - cost
+                    if w not in now or s > now[w][0]:
+                        now[w] = (s, v)
+            best.append(now)
+            shares = {w: share for w, _, _, share in states}
+        w = max(best[-1], key=lambda x: best[-1][x][0])
         out = []
-        for block, no, toks, spots in zip(lines["block"], lines["line"], lines["toks"], lines["spots"]):
-            toks = toks.split(" ")
-            at = {int(s["pos"]): s for s in spots}
-
-            def state(i):
-                """form, cost, unigram count, whether it's what stands there"""
-                w, s = toks[i], at.get(i)
-                if s is None:
-                    return [(w, 0.0, None, 1.0)]
-                n = int(s["n"])
-                most = max(int(c["cn"]) for c in s["cands"])
-                own = max(n - 1 - 0.01 * most, 0.3)  # not its own witness, less what misreading of the candidate explains
-                return [(w, 0.0, own, own / n)] + [(c["cand"], float(c["cost"]), float(c["cn"]), 1.0) for c in s["cands"]]
-
-            best: list[dict[str, tuple[float, str | None]]] = []
-            shares: dict[str, float] = {}
-            for i in range(len(toks)):
-                now: dict[str, tuple[float, str | None]] = {}
-                states = state(i)
-                for w, cost, uni, share in states:
-                    base = -cost
-                    p = (uni if uni is not None else 1.0) / total
-                    if i == 0:
-                        now[w] = (base + math.log(p), None)
-                        continue
-                    for v, (score, _) in best[-1].items():
-                        if uni is None and i - 1 not in at:
-                            s = score
-                        else:
-                            n, na = bi.get((v, w), (0, 0))
-                            least = min(share, shares.get(v, 1.0))
-                            seen = max(n * least - (1 if least < 1 else 0), 0)
-                            s = score + base + math.log(0.7 * seen / max(na, 1) + 0.3 * p)
-                        if w not in now or s > now[w][0]:
-                            now[w] = (s, v)
-                best.append(now)
-                shares = {w: share for w, _, _, share in states}
-            w = max(best[-1], key=lambda x: best[-1][x][0])
-            for i in range(len(toks) - 1, -1, -1):
-                if i in at and w != toks[i]:
-                    out.append((block, no, i, toks[i], w))
-                w = best[i][w][1] if i else None
-        return pd.DataFrame(out, columns=["block", "line", "pos", "was", "word"])
+        for i in range(len(toks) - 1, -1, -1):
+            if i in at and w != toks[i]:
+                out.append((i, toks[i], w))
+            w = best[i][w][1] if i else None
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            out = [(block, line, *c) for block, line, toks, spots, pairs in zip(pdf["block"], pdf["line"], pdf["toks"], pdf["spots"], pdf["pairs"]) for c in one(toks.split(" "), spots, pairs)]
+            yield pd.DataFrame(out, columns=["block", "line", "pos", "was", "word"])
 
     return run
 
@@ -259,8 +262,9 @@ class ScanRepair:
         doubtful = self.lines.join(spots, ["block", "line"]).withColumn("line_id", F.concat_ws("/", "block", "line"))
         needed = doubtful.select("line_id", "toks", "spots").mapInPandas(_lattice, "line_id string, a string, b string")
         first = self.words.select(F.col("w").alias("a"), F.col("n").alias("na"))
-        counted = needed.join(self.pairs, ["a", "b"]).join(first, "a")
-        return doubtful.groupBy("line_id").cogroup(counted.groupBy("line_id")).applyInPandas(_decode(total), "block string, line int, pos int, was string, word string")
+        counted = needed.join(self.pairs, ["a", "b"]).join(first, "a").groupBy("line_id").agg(F.collect_list(F.struct("a", "b", "n", "na")).alias("pairs"))
+        lines = doubtful.join(counted, "line_id", "left").select("block", "line", "toks", "spots", "pairs")
+        return lines.mapInPandas(_decode(total), "block string, line int, pos int, was string, word string")
 
     def splits(self) -> DataFrame:
         """a, b: word pairs that are one word torn apart: the joined form is frequent, the pair isn't, and a part is no word by itself."""
