@@ -39,7 +39,12 @@ SPLIT_COST = 3.5
 RATIO = 8
 
 
+NUMBERED = re.compile(r"^\s*\d{1,4} {2,}(?=\D)|(?<=\S) {2,}\d{1,4}\s*$")
+
+
 def _letters(s: str) -> str:
+    """The line's letters, without a page number set apart from it and without numbers; misread digits as letters."""
+    s = re.sub(r"\b\d+\b", " ", NUMBERED.sub("", s))
     return re.sub(r"[^a-z]", "", s.lower().replace("8", "b").replace("0", "o").replace("1", "l").replace("5", "s").replace("!", "i"))
 
 
@@ -61,9 +66,14 @@ def _alike(a: str, b: str) -> bool:
 def layout(texts: list[str | None], title: str | None) -> list[tuple[int, bool, list[str]]]:
     """Per block with text: its number, whether a running line was dropped, the lines kept."""
     split = [(k, t.split("\n")) for k, t in enumerate(texts) if t]
-    heads = Counter(_letters(ls[0]) for _, ls in split if len(ls[0]) <= 90)
+    first = [ls[0] for _, ls in split if len(ls) > 1 and len(ls[0]) <= 90]
+    heads = Counter(map(_letters, first))
     known = [_letters(title)] if title and len(_letters(title)) >= 5 else []
     known += [h for h, n in heads.items() if n >= 2 and len(h) >= 8 and h not in known]
+    if not title:
+        # lines set like a running title (a page number beside them, or capitals) that another one repeats but for misread letters
+        set_apart = list(dict.fromkeys(_letters(x) for x in first if NUMBERED.search(x) or (len(_letters(x)) >= 8 and re.sub(r"[^A-Za-z]", "", x).isupper())))
+        known += [h for k, h in enumerate(set_apart) if h not in known and len(h) >= 8 and any(_alike(h, o) for j, o in enumerate(set_apart) if j != k)]
     out = []
     for k, ls in split:
         lines = list(ls)
