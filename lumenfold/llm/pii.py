@@ -269,7 +269,7 @@ _HOST = re.compile(r"(?:\.|%2E|\[dot\]|\(dot\)|\bdot\b)", re.I)
 def _valid(kind: str, s: str) -> bool:
     digits = sum(c.isdigit() for c in s)
     if kind == "email":
-        return bool(AT.search(s)) and bool(_HOST.search(re.split(AT, s)[-1])) and not re.search(r"(?:@|%40)\d|\bgit@", s)
+        return bool(AT.search(s)) and bool(_HOST.search(re.split(AT, s)[-1])) and not re.search(r"(?:@|%40)\d|\bgit@|\[at\]\(", s)
     if kind == "phone":
         return digits >= 7
     if kind == "id_number":
