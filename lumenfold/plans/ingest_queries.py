@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.dates import db_datetime
 from lumenfold.functions.text import sentences
-from lumenfold.operators import blocks, catalog, pipeline
+from lumenfold.functions.vectors import rms
+from lumenfold.operators import blocks, catalog, extension, pipeline, symbols
 from lumenfold.plans import evaluation
 from lumenfold.plans.nlq import parsed_table
 from lumenfold.plans.search_queries import CHU, CUR, MODEL, NOW, chunks_of, files_of, images_of, projects_of, tags_of, vectors_of
@@ -431,3 +432,41 @@ def grid_search_best(spark, sf):
 @query("eval_gate", f"WITH {_EV} SELECT avg(coalesce(1.0 / rank, 0)) >= greatest(0.0, 0.85 - 0.05) AS passed FROM r")
 def eval_gate(spark, sf):
     return _ranks(spark, sf).agg((F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))) >= F.lit(max(0.0, 0.85 - 0.05))).alias("passed"))
+
+
+# further operators
+
+
+@query("code_symbol_chunks")
+def code_symbol_chunks(spark, sf):
+    c = chunks_of(spark, sf).where("symbol IS NOT NULL")
+    ext = F.when(F.col("text").rlike(r"(?m)^def "), "py").when(F.col("text").rlike(r"(?m)^(pub )?fn "), "rs").when(F.col("text").rlike(r"(?m)^func "), "go").when(F.col("text").rlike(r"(?m)^export "), "ts").otherwise("txt")
+    return symbols.code_chunk_table(c.withColumn("path", F.concat(F.lit("/f"), F.col("file_id"), F.lit("."), ext)), "id", "path", "text")
+
+
+@query("audio_energy", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) / len(embedding)), 9) AS rms FROM embeddings")
+def audio_energy(spark, sf):
+    """Root mean square of a sample array; the vectors stand for samples."""
+    return table(spark, sf, "embeddings").select("vec_id", F.round(rms(F.col("embedding")), 9).alias("rms"))
+
+
+@query("recent_queries", "WITH l AS (SELECT lower(event_type || ' ' || user_id % 20) AS k, max(epoch_us(ts)) AS last_at FROM events GROUP BY 1) SELECT k AS query FROM l ORDER BY last_at DESC, k LIMIT 8")
+def recent_queries(spark, sf):
+    log = table(spark, sf, "events").select(F.concat_ws(" ", "event_type", F.col("user_id") % 20).alias("query"), F.col("ts").cast("timestamp").alias("at"))
+    return extension.recent_queries(log).select("query")
+
+
+@query("thumbnail_keys", f"WITH {CUR} SELECT id, coalesce(content_hash, sha256(path)) AS key FROM cur WHERE lower(ext) IN ('png', 'jpg', 'jpeg', 'webp', 'bmp', 'gif')")
+def thumbnail_keys(spark, sf):
+    return extension.thumbnail_keys(files_of(spark, sf))
+
+
+@query("files_in_folders", f"WITH {CUR} SELECT id FROM cur WHERE starts_with(path, '/home/desk/Downloads/') OR starts_with(path, '/home/desk/vault/')")
+def files_in_folders(spark, sf):
+    return extension.in_folders(files_of(spark, sf), ["/home/desk/Downloads/", "/home/desk/vault"]).select("id")
+
+
+@query("retry_problems", """WITH f AS (SELECT user_id, '/u/' || user_id AS path, event_id % 2 = 1 AS late FROM events WHERE event_type = 'error'), p AS (SELECT user_id FROM f GROUP BY user_id HAVING NOT (count(*) FILTER (late) = 0 AND user_id % 2 = 0)),
+    j AS (SELECT user_id FROM events WHERE event_id % 2 = 0 AND event_type NOT IN ('error', 'view')) SELECT user_id AS file_id, 10 AS priority FROM p WHERE user_id NOT IN (SELECT user_id FROM j)""")
+def retry_problems(spark, sf):
+    return extension.retry_problems(_problems(spark, sf), _jobs(spark, sf), NOW).select("file_id", "priority")
