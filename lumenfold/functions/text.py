@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # File kinds by extension.
@@ -99,7 +99,9 @@ def excluded(path: Column, patterns: list[str]) -> Column:
 def fold(text: Column) -> Column:
     """Lower case without diacritics (the letters of Latin scripts that have them)."""
     src, dst = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďđęěğīłńňőœřśšťůűźżžßø", "aaaaaaceeeeiiiinooooouuuuyyaaaccddeegilnnoorsstuuzzzso"
-    return F.translate(F.lower(text), src, dst)
+    low = F.lower(text)
+    # most texts have no such letter, and a look is cheaper than the translation
+    return F.when(low.rlike("[^\\x00-\\x7f]"), F.translate(low, src, dst)).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
@@ -154,16 +156,22 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?\n])(?=\s)"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
-def snippet(text: Column, terms: list[str], width: int = 24) -> Column:
-    """The first window of `width` words that holds most distinct terms, its matches in <mark>; `…` where text was cut.
-    A term is a prefix of a folded word."""
-    words = F.split(F.trim(text), r"\s+")
-    n = F.size(words)
+def with_snippet(df: DataFrame, terms: list[str], text_col: str = "text", width: int = 24) -> DataFrame:
+    """Adds `snippet`: the first window of `width` words that holds most distinct terms, its matches in <mark>; `…` where text
+    was cut. A term is a prefix of a folded word.
+
+    The words and their hits pass through an `explode` of one element, so the window search reads them as plain columns;
+    inlined into its lambda they would be computed for every window."""
+    words = F.split(F.trim(F.col(text_col)), r"\s+")
     folded = F.transform(words, lambda w: F.regexp_replace(fold(w), r"^[^\p{L}\p{N}]+", ""))
-    hits = F.transform(folded, lambda w: sum((F.when(w.startswith(t), F.lit(1 << k)).otherwise(0) for k, t in enumerate(terms[:30])), F.lit(0)))
+    marks = F.transform(folded, lambda w: sum((F.when(w.startswith(t), F.lit(1 << k)).otherwise(0) for k, t in enumerate(terms[:30])), F.lit(0)))
+    held = df.select("*", F.explode(F.array(F.struct(words.alias("w"), marks.alias("h")))).alias("_s"))
+    w, h = F.col("_s.w"), F.col("_s.h")
+    n = F.size(w)
     starts = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
-    score = lambda i: F.bit_count(F.aggregate(F.slice(hits, i, width), F.lit(0), lambda a, x: a.bitwiseOR(x)))
-    best = F.transform(starts, lambda i: F.struct(score(i).alias("s"), (-i).alias("i")))
-    at = -F.array_max(best)["i"]
-    marked = F.zip_with(F.slice(words, at, width), F.slice(hits, at, width), lambda w, h: F.when(h > 0, F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
-    return F.concat(F.when(at > 1, "…").otherwise(""), F.array_join(marked, " "), F.when(at + width <= n, "…").otherwise(""))
+    score = lambda i: F.bit_count(F.aggregate(F.slice(h, i, width), F.lit(0), lambda a, x: a.bitwiseOR(x)))
+    best = F.array_max(F.transform(starts, lambda i: F.struct(score(i).alias("s"), (-i).alias("i"))))
+    placed = held.select("*", F.explode(F.array(-best["i"])).alias("_at"))
+    at = F.col("_at")
+    marked = F.zip_with(F.slice(w, at, width), F.slice(h, at, width), lambda x, k: F.when(k > 0, F.concat(F.lit("<mark>"), x, F.lit("</mark>"))).otherwise(x))
+    return placed.withColumn("snippet", F.concat(F.when(at > 1, "…").otherwise(""), F.array_join(marked, " "), F.when(at + width <= n, "…").otherwise(""))).drop("_s", "_at")

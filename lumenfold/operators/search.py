@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import ranking as R
-from lumenfold.functions.text import jaccard, query_terms, short_snippet, snippet, tokens, trigrams
+from lumenfold.functions.text import fold, jaccard, query_terms, short_snippet, tokens, trigrams, with_snippet
 from lumenfold.functions.vectors import dot
 from lumenfold.plans.nlq import ParsedQuery
+from lumenfold.session import spread
 
 K1, B = 1.2, 0.75
 FILE_COLUMNS = ["path", "name", "parent_dir", "ext", "size", "mtime", "ctime", "kind"]
@@ -33,47 +35,50 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
-def _term_count(toks: Column, pieces: list[str]) -> Column:
-    """Occurrences of a term: a prefix, or a phrase whose last piece is a prefix."""
-    if len(pieces) == 1:
-        return F.size(F.filter(toks, lambda t: t.startswith(pieces[0])))
-    at = F.sequence(F.lit(0), F.greatest(F.size(toks) - 1, F.lit(0)))
+_SIGN, _BREAK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 
-    def here(i):
-        ok = F.lit(True)
-        for k, p in enumerate(pieces):
-            w = F.get(toks, i + k)
-            ok = ok & F.coalesce(w.startswith(p) if k == len(pieces) - 1 else w == p, F.lit(False))
-        return ok
 
-    return F.size(F.filter(at, here))
+def _term_count(folded: Column, pieces: list[str]) -> Column:
+    """Occurrences of a term in a folded text: a prefix of a word, or a phrase whose last piece is a prefix. A pattern
+    over the text, as an array of its words would cost far more than counting."""
+    pattern = rf"(?<!{_SIGN})" + rf"{_BREAK}+".join(re.escape(p) for p in pieces)
+    return F.when(folded.contains(pieces[0]), F.regexp_count(folded, F.lit(pattern))).otherwise(0)
+
+
+def _counted(chunks: DataFrame, terms: list[list[str]]) -> DataFrame:
+    """chunk_id, file_id, ordinal, dl and a count per term. Redeliveries are dropped here, on a few numbers per chunk and not on texts."""
+    t = spread(chunks.where(F.col("text").isNotNull()).select(F.col("id").alias("chunk_id"), "file_id", "ordinal", "text")).withColumn("t", fold(F.col("text")))
+    return t.select("chunk_id", "file_id", "ordinal", F.regexp_count("t", F.lit(_SIGN + "+")).alias("dl"), *[_term_count(F.col("t"), p).alias(f"f{k}") for k, p in enumerate(terms)]).dropDuplicates(["chunk_id"])
 
 
 def content_hits(chunks: DataFrame, query: str) -> DataFrame:
-    """chunk_id, bm25 of chunks in which every term of the query occurs; document counts and mean length over all chunks."""
+    """chunk_id, file_id, ordinal, bm25 of chunks in which every term of the query occurs; document counts and mean length over all chunks."""
     terms = query_terms(query)
     if not terms:
-        return chunks.where(F.lit(False)).select(F.col("id").alias("chunk_id"), F.lit(0.0).alias("bm25"))
-    counted = chunks.select(F.col("id").alias("chunk_id"), tokens(F.col("text")).alias("t")).select(
-        "chunk_id", F.size("t").alias("dl"), *[_term_count(F.col("t"), p).alias(f"f{k}") for k, p in enumerate(terms)]
-    )
+        return chunks.where(F.lit(False)).select(F.col("id").alias("chunk_id"), "file_id", "ordinal", F.lit(0.0).alias("bm25"))
+    counted = _counted(chunks, terms)
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
     every = F.lit(True)
     for k in range(len(terms)):
         every = every & (F.col(f"f{k}") > 0)
     score = sum((_bm25(F.col("n"), F.col(f"n{k}"), F.col(f"f{k}"), F.col("dl"), F.col("avgdl")) for k in range(len(terms))), F.lit(0.0))
-    return counted.where(every).crossJoin(F.broadcast(stats)).select("chunk_id", score.alias("bm25"))  # stats: one row
+    return counted.where(every).crossJoin(F.broadcast(stats)).select("chunk_id", "file_id", "ordinal", score.alias("bm25"))  # stats: one row
+
+
+def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunk columns of a short list of hits."""
+    c = chunks.select(F.col("id").alias("chunk_id"), "text", "page", "section", "symbol")
+    return hits.join(c, "chunk_id").dropDuplicates(["chunk_id"])
 
 
 def content_search(chunks: DataFrame, files: DataFrame, query: str, limit: int, now: datetime, cfg: R.RankingConfig | None = None) -> DataFrame:
     """Best 3 * limit chunks of active files by BM25, with the score that path depth and recency give; the order is BM25's."""
     cfg = cfg or R.RankingConfig()
     live = files.where("status = 'active'").select(F.col("id").alias("file_id"), *FILE_COLUMNS)
-    hits = content_hits(chunks, query).join(chunks.select(F.col("id").alias("chunk_id"), "file_id", "ordinal", "text", "page", "section", "symbol"), "chunk_id").join(live, "file_id")
-    best = hits.orderBy(F.col("bm25").desc(), "chunk_id").limit(3 * limit)
+    best = content_hits(chunks, query).join(live, "file_id").orderBy(F.col("bm25").desc(), "chunk_id").limit(3 * limit)
     score = F.col("bm25") * R.depth_boost(F.col("path"), cfg.depth_weight) * R.recency_boost(F.col("mtime"), now, cfg.recency_weight, cfg.recency_half_life_days)
     flat = [p[-1] for p in query_terms(query)]
-    return best.withColumn("score", score).withColumn("snippet", snippet(F.col("text"), flat) if flat else short_snippet(F.col("text")))
+    return with_snippet(with_texts(best, chunks).withColumn("score", score), flat)
 
 
 def filename_search(files: DataFrame, query: str, limit: int, now: datetime, cfg: R.RankingConfig | None = None) -> DataFrame:
@@ -113,7 +118,7 @@ def semantic_search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, que
     """Files by their best chunk among the top max(4 * limit, 20), plus 0.03 per further chunk (at most 3). Files that
     aren't deleted count, also those in error."""
     hits = vector_search(vectors, query_vector, max(4 * limit, 20), model)
-    c = hits.join(chunks.select(F.col("id").alias("chunk_id"), "text", "page", "section", "symbol"), "chunk_id")
+    c = with_texts(hits, chunks)
     best = c.groupBy("file_id").agg(F.max(F.struct("score", (-F.col("chunk_id")).alias("c"), "text", "page", "section", "symbol")).alias("b"), F.count("*").alias("n"))
     live = files.where("status <> 'deleted'").select(F.col("id").alias("file_id"), *FILE_COLUMNS)
     score = F.col("b.score") + F.lit(0.03) * F.least(F.col("n") - 1, F.lit(3))
@@ -300,7 +305,7 @@ def hybrid_search(index: dict[str, DataFrame], parsed: ParsedQuery, limit: int,
     streams.append(stream_ranks(content, [F.col("bm25").desc(), F.col("chunk_id")], "content", cols("score", F.col("text"))))
     if query_vector is not None:
         hits = vector_search(index["chunk_vectors"], query_vector, wide, model)
-        hits = hits.join(chunks.select(F.col("id").alias("chunk_id"), "text", "page", "section", "symbol"), "chunk_id").join(files.where("status <> 'deleted'").select(F.col("id").alias("file_id")), "file_id", "left_semi").withColumn("snippet", short_snippet(F.col("text")))
+        hits = with_texts(hits, chunks).join(files.where("status <> 'deleted'").select(F.col("id").alias("file_id")), "file_id", "left_semi").withColumn("snippet", short_snippet(F.col("text")))
         streams.append(stream_ranks(hits, [F.col("score").desc(), F.col("chunk_id")], "vector", cols("score", F.col("text"))))
     tagged = None
     if parsed.tag_filters or parsed.is_screenshot_query or "qr" in text.lower():

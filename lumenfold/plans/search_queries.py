@@ -62,8 +62,13 @@ def projects_of(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "projects").dropDuplicates(["id"])
 
 
+def raw_chunks_of(spark: SparkSession, sf: str) -> DataFrame:
+    """With redeliveries; the search operators drop them where it costs least."""
+    return table(spark, sf, "chunks").where("text IS NOT NULL")
+
+
 def index_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {"files": files_of(spark, sf), "chunks": chunks_of(spark, sf), "chunk_vectors": vectors_of(spark, sf), "image_tags": tags_of(spark, sf), "image_metadata": images_of(spark, sf)}
+    return {"files": files_of(spark, sf), "chunks": raw_chunks_of(spark, sf), "chunk_vectors": vectors_of(spark, sf), "image_tags": tags_of(spark, sf), "image_metadata": images_of(spark, sf)}
 
 
 CUR = r"""cur AS (SELECT id, replace(path, '\', '/') AS path, parent_dir, name, ext, size, mtime, ctime, kind, content_hash, status, last_indexed_at, error FROM files WHERE id IS NOT NULL
@@ -219,19 +224,19 @@ def corpus_stats(spark, sf):
 
 @query("content_bm25", f"WITH {CUR}, {content_sql(CONTENT.split(), 20)} SELECT chunk_id, file_id, ordinal, round(bm25, 6) AS bm25, round(bm25 * {DEPTH} * {recency()}, 6) AS score FROM con")
 def content_bm25(spark, sf):
-    got = search.content_search(chunks_of(spark, sf), files_of(spark, sf), CONTENT, 20, NOW)
+    got = search.content_search(raw_chunks_of(spark, sf), files_of(spark, sf), CONTENT, 20, NOW)
     return got.select("chunk_id", "file_id", "ordinal", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
 @query("content_bm25_all", f"WITH {content_cte(['scan', 'led', 'dust'])} SELECT chunk_id, round(bm25, 6) AS bm25 FROM hit")
 def content_bm25_all(spark, sf):
     """Every chunk in which all three prefixes occur."""
-    return search.content_hits(chunks_of(spark, sf), "scan led* dust!").select("chunk_id", F.round("bm25", 6).alias("bm25"))
+    return search.content_hits(raw_chunks_of(spark, sf), "scan led* dust!").select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query("content_snippet")
 def content_snippet(spark, sf):
-    return search.content_search(chunks_of(spark, sf), files_of(spark, sf), CONTENT, 20, NOW).select("chunk_id", "snippet")
+    return search.content_search(raw_chunks_of(spark, sf), files_of(spark, sf), CONTENT, 20, NOW).select("chunk_id", "snippet")
 
 
 @query("vector_topk", f"WITH {vector_sql(20)} SELECT chunk_id, file_id, round(score, 6) AS score FROM vtop")
@@ -264,7 +269,7 @@ def embedding_label_best(spark, sf):
     b AS (SELECT file_id, max(score) + 0.03::DOUBLE * least(count(*) - 1, 3) AS score, first(chunk_id ORDER BY score DESC, chunk_id) AS chunk_id FROM h GROUP BY file_id)
     SELECT b.file_id, b.chunk_id, round(score, 6) AS score FROM b JOIN cur ON cur.id = b.file_id WHERE cur.status <> 'deleted' ORDER BY b.score DESC, path, b.file_id LIMIT 20""")
 def semantic_by_file(spark, sf):
-    return search.semantic_search(vectors_of(spark, sf), chunks_of(spark, sf), files_of(spark, sf), QUERY_VECTOR, 20, MODEL).select("file_id", "chunk_id", F.round("score", 6).alias("score"))
+    return search.semantic_search(vectors_of(spark, sf), raw_chunks_of(spark, sf), files_of(spark, sf), QUERY_VECTOR, 20, MODEL).select("file_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("image_tag_search_or", f"WITH {CUR}, {TAG}, {IMG} SELECT t.id, t.file_id, t.tag FROM tags t JOIN cur ON cur.id = t.file_id LEFT JOIN img ON img.file_id = t.file_id WHERE cur.status = 'active' AND (t.tag = 'qr:payment' OR coalesce(img.is_screenshot, false)) ORDER BY t.id DESC LIMIT 40")

@@ -64,7 +64,10 @@ def test_terms_and_expression():
 
 def test_snippets(spark):
     assert one(spark, text.short_snippet(F.lit("a" * 160))) == "a" * 160 and one(spark, text.short_snippet(F.lit("b" * 159 + "  c"))) == "b" * 159 + "..."
-    s = one(spark, text.snippet(F.lit(" ".join(f"w{k}" for k in range(60)) + " Dusty ledger end"), ["dust", "ledger"]))
+    df = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(60)) + " Dusty ledger end"), (2, "short"), (3, None), (4, "")], "id int, text string")
+    got = {r.id: r.snippet for r in text.with_snippet(df, ["dust", "ledger"]).collect()}
+    assert got[2] == "short" and got[3] is None and got[4] == ""
+    s = got[1]
     assert s.startswith("…") and "<mark>Dusty</mark> <mark>ledger</mark>" in s and len(s.split()) == 24
     assert one(spark, text.strip_marks(F.lit(s))).count("<") == 0
     assert one(spark, text.sentences(F.lit("A b. C d!\nE 3.5 f"))) == ["A b.", "C d!", "E 3.5 f"]
