@@ -27,6 +27,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.session import spread
+
 # Element names of the HTML standard, split by what they do here.
 BLOCK = "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 INLINE = "a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label link mark math meta meter noscript nowiki output picture q ref s samp select small source span strike strong sub sup textarea time title tt u var video wbr".split()
@@ -401,7 +403,7 @@ def clean_table(df: DataFrame, id_col: str, text_col: str, source: Column | None
             yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
-    return rows.where(read).drop("_source").mapInPandas(run, f"{fields}, {RESULT}").unionByName(plain)
+    return spread(rows.where(read).drop("_source")).mapInPandas(run, f"{fields}, {RESULT}").unionByName(plain)
 
 
 def marked_ids(df: DataFrame, id_col: str, text_col: str, source: Column | None = None) -> DataFrame:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.session import spread
+
 #: Fixed value: the pre-tokenizer pattern of the 50k byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -49,7 +51,7 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str, t
             n = [sum(map(len, enc.encode_ordinary_batch([t[k : k + 200_000] for k in range(0, len(t), 200_000)], num_threads=1))) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "n": n})
 
-    return rows.mapInPandas(run, "id long, source string, n long").where("n > 0")
+    return spread(rows).mapInPandas(run, "id long, source string, n long").where("n > 0")
 
 
 def weights(natural: dict[str, float], target: dict[str, float], cap: dict[str, float], budget: float | None) -> tuple[dict[str, float], float, float]:

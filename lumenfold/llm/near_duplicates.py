@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.words import WordHash, batch_hashes, mix
-from lumenfold.session import cut, scratch
+from lumenfold.session import cut, scratch, spread
 
 SKETCH_BITS = 22
 SKETCH = 1 << SKETCH_BITS
@@ -294,6 +294,7 @@ def class_pairs(docs: DataFrame, id_col: str, text_col: str, n: int = 3, num: in
     """(pairs, members): pairs (a, b, shared, united) of different classes that reach num/den; members (key, id) of every class."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    texts = spread(texts)
     path = scratch(spark, "ngram-survey")
     texts.mapInPandas(_survey(n, min_words), SURVEY).write.parquet(path)
     survey = spark.read.schema(SURVEY).parquet(path)

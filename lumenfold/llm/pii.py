@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.pii_labels import KINDS, labelled_table
+from lumenfold.session import spread
 
 TOKEN = re.compile(r"%[0-9A-Fa-f]{2}|[^\W\d_]+|\d+|\n|[^\w\s]|_")
 SPLIT = re.compile(r"\n+|(?<=[^\W\d_A-Z]{3}[.!?])(?<!Prof\.)(?<!prof\.)[ \t]+")
@@ -131,34 +132,27 @@ def _emissions(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sum(tables[k][wide[:, 2 + o : 2 + o + x.shape[1]]] for k, o in enumerate(OFFSETS))
 
 
-@lru_cache(maxsize=1)
-def train(rounds: int = 80, l2: float = 1e-4) -> Model:
-    """Conditional log-likelihood by Adam over the whole labelled table. Nothing of the data to be tagged enters."""
-    data = [_labelled(r) for r in labelled_table()]
-    types = Types()
-    seqs = [[types[token_type(t)] for t in toks] for toks, _ in data]
-    x, y = _pad(seqs, 0), _pad([labs for _, labs in data], -1)
-    mask = y >= 0
-    n, T = x.shape
-    cols = _matrix(types.names)
-    V = len(types.names)
-    by_feature = _Adder(cols.ravel())
-    W = np.zeros((len(OFFSETS), BUCKETS, L))
-    A, S = np.zeros((L, L)), np.zeros(L)
-    params, first, second = [W, A, S], [np.zeros_like(p) for p in (W, A, S)], [np.zeros_like(p) for p in (W, A, S)]
-    wide = np.pad(x, ((0, 0), (2, 2)))
-    gold_a = np.zeros((L, L))
-    for t in range(1, T):
-        ok = mask[:, t]
-        np.add.at(gold_a, (y[ok, t - 1], y[ok, t]), 1)
-    last = mask.sum(1) - 1
-    hot = np.zeros((n, T, L))
-    hot[np.nonzero(mask) + (y[mask],)] = 1
-    used = np.unique(cols)
-    by_type = [_Adder(wide[:, 2 + o : 2 + o + T][mask]) for o in OFFSETS]
-    for it in range(1, rounds + 1):
-        tables = np.stack([W[k][cols].sum(1) for k in range(len(OFFSETS))])
-        e = _emissions(tables, x)
+class _Bucket:
+    """Sequences of like length, padded together, with what of their sums doesn't change between rounds."""
+
+    def __init__(self, seqs: list[list[int]], labs: list[list[int]]):
+        self.x, y = _pad(seqs, 0), _pad(labs, -1)
+        self.mask = y >= 0
+        self.last = self.mask.sum(1) - 1
+        n, T = self.x.shape
+        self.hot = np.zeros((n, T, L))
+        self.hot[np.nonzero(self.mask) + (y[self.mask],)] = 1
+        self.gold = np.zeros((L, L))
+        for t in range(1, T):
+            ok = self.mask[:, t]
+            np.add.at(self.gold, (y[ok, t - 1], y[ok, t]), 1)
+        wide = np.pad(self.x, ((0, 0), (2, 2)))
+        self.by_type = [_Adder(wide[:, 2 + o : 2 + o + T][self.mask]) for o in OFFSETS]
+
+    def gradients(self, tables: np.ndarray, A: np.ndarray, S: np.ndarray):
+        """Of the negative log-likelihood: by label at each position of a sequence, by transition, by first label."""
+        n, T = self.x.shape
+        e = _emissions(tables, self.x)
         e = np.exp(e - e.max(-1, keepdims=True))
         trans = np.exp(A)
         a = np.zeros((n, T, L))
@@ -168,27 +162,53 @@ def train(rounds: int = 80, l2: float = 1e-4) -> Model:
             z = (a[:, t - 1] @ trans) * e[:, t]
             a[:, t] = z / z.sum(-1, keepdims=True)
         b = np.zeros((n, T, L))
-        exp_a = np.zeros((L, L))
+        moves = np.zeros((L, L))
         for t in range(T - 1, -1, -1):
-            end = last == t
-            b[end, t] = 1.0
+            b[self.last == t, t] = 1.0
             if t + 1 < T:
-                go = last > t
-                u = e[:, t + 1] * b[:, t + 1]
+                go = self.last > t
+                u = e[go, t + 1] * b[go, t + 1]
                 z = u @ trans.T
-                b[go, t] = z[go] / np.maximum(z[go].sum(-1, keepdims=True), 1e-300)
-                pair = a[go, t][:, :, None] * trans[None] * u[go][:, None, :]
-                exp_a += (pair / np.maximum(pair.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+                b[go, t] = z / np.maximum(z.sum(-1, keepdims=True), 1e-300)
+                # expected moves: a_i * trans_ij * u_j over its sum, added up as one product
+                weight = 1.0 / np.maximum((a[go, t] * z).sum(-1, keepdims=True), 1e-300)
+                moves += trans * ((a[go, t] * weight).T @ u)
         p = a * b
         p /= np.maximum(p.sum(-1, keepdims=True), 1e-300)
-        g = (p - hot) * mask[..., None]
+        g = (p - self.hot) * self.mask[..., None]
+        return g[self.mask], moves - self.gold, g[:, 0].sum(0)
+
+
+@lru_cache(maxsize=1)
+def train(rounds: int = 80, l2: float = 1e-4) -> Model:
+    """Conditional log-likelihood by Adam over the whole labelled table. Nothing of the data to be tagged enters."""
+    data = sorted((_labelled(r) for r in labelled_table()), key=lambda d: len(d[0]))
+    data = [d for d in data if d[0]]
+    types = Types()
+    seqs = [[types[token_type(t)] for t in toks] for toks, _ in data]
+    size = -(-len(data) // 8)
+    buckets = [_Bucket(seqs[k : k + size], [labs for _, labs in data[k : k + size]]) for k in range(0, len(data), size)]
+    n = len(data)
+    cols = _matrix(types.names)
+    V = len(types.names)
+    by_feature = _Adder(cols.ravel())
+    used = np.unique(cols)
+    W = np.zeros((len(OFFSETS), BUCKETS, L))
+    A, S = np.zeros((L, L)), np.zeros(L)
+    params, first, second = [W, A, S], [np.zeros_like(p) for p in (W, A, S)], [np.zeros_like(p) for p in (W, A, S)]
+    for it in range(1, rounds + 1):
+        tables = np.stack([W[k][cols].sum(1) for k in range(len(OFFSETS))])
+        gt = np.zeros((len(OFFSETS), V, L))
+        ga, gs = np.zeros((L, L)), np.zeros(L)
+        for bucket in buckets:
+            gm, a, s = bucket.gradients(tables, A, S)
+            ga, gs = ga + a, gs + s
+            for k in range(len(OFFSETS)):
+                bucket.by_type[k](gt[k], gm)
         gw = np.zeros_like(W)
-        gm = g[mask]
         for k in range(len(OFFSETS)):
-            gt = np.zeros((V, L))
-            by_type[k](gt, gm)
-            by_feature(gw[k], np.repeat(gt, cols.shape[1], axis=0))
-        grads = [gw + l2 * n * W, exp_a - gold_a + l2 * n * A, g[:, 0].sum(0) + l2 * n * S]
+            by_feature(gw[k], np.repeat(gt[k], cols.shape[1], axis=0))
+        grads = [gw + l2 * n * W, ga + l2 * n * A, gs + l2 * n * S]
         for q, gr, m1, m2 in zip(params, grads, first, second):
             view = (slice(None), used) if q.ndim == 3 else ()
             gq = gr[view] / n
@@ -347,4 +367,4 @@ def tag_table(df: DataFrame, id_col: str, text_cols: dict[str, str], masked: boo
                 out = out[[bool(s) for s in got]]
             yield out
 
-    return long.where(F.col("row_id").isNotNull()).mapInPandas(run, "field string, row_id long, kinds array<string>" + (", masked_text string" if masked else ""))
+    return spread(long.where(F.col("row_id").isNotNull())).mapInPandas(run, "field string, row_id long, kinds array<string>" + (", masked_text string" if masked else ""))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.session import scratch
+from lumenfold.session import scratch, spread
 
 TOKEN = re.compile(r"(?:!(?=[^\W\d_]))?[^\W_]+(?:!(?=[^\W\d_])[^\W_]+)*")
 MARKS = "-¬\xad‐‑"
@@ -128,7 +128,7 @@ def read_layout(docs: DataFrame, origin: str, blocks_col: str, title_col: str |
                     out.append((origin, fid, k, dropped, lines, toks, breaks))
             yield pd.DataFrame(out, columns=["origin", "file_id", "block_no", "running", "lines", "toks", "breaks"])
 
-    return rows.mapInPandas(run, LAYOUT)
+    return spread(rows).mapInPandas(run, LAYOUT)
 
 
 def _undo(word: str) -> dict[str, float]:
