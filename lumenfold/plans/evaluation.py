@@ -60,14 +60,19 @@ def grid_search(candidates: DataFrame, configs: DataFrame) -> DataFrame:
     """candidates: query_id, file_id, filename_rank, content_rank, vector_rank, exact (name is the query), extra (further
     chunks), prior, relevant. Retrieval doesn't depend on the tuned weights, so each configuration only re-scores: the
     configurations (a fixed number of rows) go to the candidates. Result: trial, mrr, recall_at_10."""
-    part = lambda r, w: F.coalesce(F.col(w) / (F.col("rrf_k") + F.col(r)), F.lit(0.0))
-    base = part("filename_rank", "weight_filename") + part("content_rank", "weight_content") + part("vector_rank", "weight_vector")
-    score = base * F.col("prior") * F.when(F.col("exact"), 1 + F.col("exact_name_boost")).otherwise(F.lit(1.0)) + F.col("multi_chunk_bonus") * F.col("extra")
-    scored = candidates.crossJoin(F.broadcast(configs)).withColumn("score", F.round(score, 12))  # GRID rows
-    # the rank of the best relevant file: 1 + files of the query before it; no ranking of whole lists is needed
-    best = scored.where("relevant").groupBy("trial", "query_id").agg(F.max(F.struct("score", (-F.col("file_id")).alias("f"))).alias("b"))
-    j = scored.join(best, ["trial", "query_id"])
-    rank = j.groupBy("trial", "query_id").agg((F.count_if((F.col("score") > F.col("b.score")) | ((F.col("score") == F.col("b.score")) & (F.col("file_id") < -F.col("b.f")))) + 1).alias("rank"))
+    features = ["filename_rank", "content_rank", "vector_rank", "exact", "extra", "prior"]
+
+    def score(p: str) -> Column:
+        part = lambda r, w: F.coalesce(F.col(w) / (F.col("rrf_k") + F.col(p + r)), F.lit(0.0))
+        base = part("filename_rank", "weight_filename") + part("content_rank", "weight_content") + part("vector_rank", "weight_vector")
+        return F.round(base * F.col(p + "prior") * F.when(F.col(p + "exact"), 1 + F.col("exact_name_boost")).otherwise(F.lit(1.0)) + F.col("multi_chunk_bonus") * F.col(p + "extra"), 12)
+
+    # a relevant file's rank is 1 + the files of its query before it: its features go to each candidate, so a candidate and
+    # a configuration give one row, and no list is ranked whole
+    right = candidates.where("relevant").select("query_id", F.col("file_id").alias("r_file_id"), *[F.col(c).alias(f"r_{c}") for c in features])
+    rows = candidates.join(right, "query_id").crossJoin(F.broadcast(configs)).select("trial", "query_id", "file_id", "r_file_id", score("").alias("s"), score("r_").alias("r"))  # GRID rows
+    before = F.count_if((F.col("s") > F.col("r")) | ((F.col("s") == F.col("r")) & (F.col("file_id") < F.col("r_file_id")))) + 1
+    rank = rows.groupBy("trial", "query_id", "r_file_id").agg(before.alias("rank")).groupBy("trial", "query_id").agg(F.min("rank").alias("rank"))
     n = candidates.select("query_id").distinct().agg(F.count("*").alias("n"))
     out = rank.groupBy("trial").agg(F.sum(F.when(F.col("rank") <= 10, 1.0 / F.col("rank")).otherwise(0.0)).alias("s"), F.sum(F.when(F.col("rank") <= 10, 1.0).otherwise(0.0)).alias("r"))
     return configs.select("trial").join(out, "trial", "left").crossJoin(n).select("trial", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mrr"), (F.coalesce("r", F.lit(0.0)) / F.col("n")).alias("recall_at_10"))  # n: one row
