@@ -60,6 +60,7 @@ def grid_search(candidates: DataFrame, configs: DataFrame) -> DataFrame:
     """candidates: query_id, file_id, filename_rank, content_rank, vector_rank, exact (name is the query), extra (further
     chunks), prior, relevant. Retrieval doesn't depend on the tuned weights, so each configuration only re-scores: the
     configurations (a fixed number of rows) go to the candidates. Result: trial, mrr, recall_at_10."""
+    spark = candidates.sparkSession
     features = ["filename_rank", "content_rank", "vector_rank", "exact", "extra", "prior"]
 
     def score(p: str) -> Column:
@@ -70,7 +71,9 @@ def grid_search(candidates: DataFrame, configs: DataFrame) -> DataFrame:
     # a relevant file's rank is 1 + the files of its query before it: its features go to each candidate, so a candidate and
     # a configuration give one row, and no list is ranked whole
     right = candidates.where("relevant").select("query_id", F.col("file_id").alias("r_file_id"), *[F.col(c).alias(f"r_{c}") for c in features])
-    rows = candidates.join(right, "query_id").crossJoin(F.broadcast(configs)).select("trial", "query_id", "file_id", "r_file_id", score("").alias("s"), score("r_").alias("r"))  # GRID rows
+    # each row becomes one per configuration, so the rows are dealt evenly first, whatever their query
+    pairs = candidates.join(right, "query_id").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = pairs.crossJoin(F.broadcast(configs)).select("trial", "query_id", "file_id", "r_file_id", score("").alias("s"), score("r_").alias("r"))  # GRID rows
     before = F.count_if((F.col("s") > F.col("r")) | ((F.col("s") == F.col("r")) & (F.col("file_id") < F.col("r_file_id")))) + 1
     rank = rows.groupBy("trial", "query_id", "r_file_id").agg(before.alias("rank")).groupBy("trial", "query_id").agg(F.min("rank").alias("rank"))
     n = candidates.select("query_id").distinct().agg(F.count("*").alias("n"))
