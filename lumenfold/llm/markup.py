@@ -129,11 +129,16 @@ def count_constructs(text: str) -> dict[str, int]:
     return out
 
 
+#: Containers nested deeper than this are read as part of the one at this depth.
+DEEPEST = 120
+
+
 class Node:
     __slots__ = ("kind", "parts", "kids", "linked", "score", "parent", "level")
 
-    def __init__(self, kind: str, parent: Node | None = None, level: int = 0):
-        self.kind, self.parent, self.level = kind, parent, level
+    def __init__(self, kind: str, parent: Node | None = None):
+        self.kind, self.parent = kind, parent
+        self.level = parent.level + 1 if parent is not None else 0
         self.parts: list[str] = []
         self.kids: list[Node] = []
         self.linked, self.score = 0, 0.0
@@ -191,7 +196,7 @@ def _tree(text: str) -> Node:
             else:
                 while at.kind in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd") or (at.kind == name == "li"):
                     at = at.parent
-                if name != "hr":
+                if name != "hr" and at.level < DEEPEST:
                     at = Node(name, at)
     write(text[pos:])
     return root

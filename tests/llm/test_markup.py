@@ -34,6 +34,9 @@ def test_source_and_long_and_nested():
     assert m.clean("# comment\n<b>x</b>", source=True)[0] == "# comment\n<b>x</b>"
     long = "<div>" * 300 + "word, " * 20000 + "</div>" * 300
     assert len(m.clean(long)[0]) > 100_000
+    assert m.clean("<div><p>" * 20_000 + "word" + "</p></div>" * 20_000)[0] == "word"
+    for hostile in ("<a " * 20_000, "[" * 20_000, "{{" * 10_000, "*" * 50_000, "$" * 20_001, "\\begin{" * 5_000, "&" * 50_000, "<!--" * 5_000):
+        m.clean(hostile)
 
 
 def test_table(spark):
