@@ -65,7 +65,16 @@ def _chunk_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return near_duplicates.class_pairs(table(spark, sf_dir, "chunks"), "id", "text", n=3, num=3, den=5, min_words=20)
 
 
-@query("p6_found")
+@query(
+    "p6_found",
+    r"""
+    WITH t AS (SELECT DISTINCT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL),
+    g AS (SELECT DISTINCT id, hash(unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS h FROM t WHERE len(w) >= 20),
+    n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+    s AS (SELECT a.id AS a, b.id AS b, count(*) AS s FROM g a JOIN g b ON a.h = b.h AND a.id < b.id GROUP BY a.id, b.id)
+    SELECT a AS chunk_id_a, b AS chunk_id_b FROM s JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 5 * s >= 3 * (x.n + y.n - s)
+    """,
+)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.record_pairs(*_chunk_pairs(spark, sf_dir))
     return found.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
@@ -76,7 +85,17 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(*_chunk_pairs(spark, sf_dir))
 
 
-@query("p5_found")
+@query(
+    "p5_found",
+    """
+    WITH v AS (SELECT DISTINCT ON (chunk_id) chunk_id, model_id, dims, vector::DOUBLE[] AS x FROM chunk_vectors WHERE chunk_id IS NOT NULL AND model_id IS NOT NULL AND vector IS NOT NULL AND len(vector) = dims
+        AND len(list_filter(vector, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0 ORDER BY chunk_id),
+    u AS (SELECT chunk_id, model_id, dims, list_transform(x, lambda e: e / sqrt(list_inner_product(x, x))) AS x FROM v),
+    p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, list_inner_product(a.x, b.x) AS c FROM u a JOIN u b ON a.model_id = b.model_id AND a.dims = b.dims AND a.chunk_id <> b.chunk_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(c, 12) DESC, y) AS k FROM p)
+    SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM r WHERE k <= 5 AND c >= 0.82
+    """,
+)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = vector_join.neighbour_pairs(vector_join.neighbours(table(spark, sf_dir, "chunk_vectors"), k=5, floor=0.82))
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
@@ -140,7 +159,16 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text", least=12)
 
 
-@query("p8_found")
+@query(
+    "p8_found",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d),
+    eg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM e)
+    SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
+    """,
+)
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select("doc_id", "item_id")
 
