@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import ranking as R
-from lumenfold.functions.text import fold, jaccard, query_terms, short_snippet, tokens, trigrams, with_snippet
+from lumenfold.functions.text import fold, jaccard, query_terms, short_snippet, tokens, trigrams, with_snippet, word_count
 from lumenfold.functions.vectors import dot
 from lumenfold.plans.nlq import ParsedQuery
 from lumenfold.session import spread
@@ -48,7 +48,7 @@ def _term_count(folded: Column, pieces: list[str]) -> Column:
 def _counted(chunks: DataFrame, terms: list[list[str]]) -> DataFrame:
     """chunk_id, file_id, ordinal, dl and a count per term. Redeliveries are dropped here, on a few numbers per chunk and not on texts."""
     t = spread(chunks.where(F.col("text").isNotNull()).select(F.col("id").alias("chunk_id"), "file_id", "ordinal", "text")).withColumn("t", fold(F.col("text")))
-    return t.select("chunk_id", "file_id", "ordinal", F.regexp_count("t", F.lit(_SIGN + "+")).alias("dl"), *[_term_count(F.col("t"), p).alias(f"f{k}") for k, p in enumerate(terms)]).dropDuplicates(["chunk_id"])
+    return t.select("chunk_id", "file_id", "ordinal", word_count(F.col("t")).alias("dl"), *[_term_count(F.col("t"), p).alias(f"f{k}") for k, p in enumerate(terms)]).dropDuplicates(["chunk_id"])
 
 
 def content_hits(chunks: DataFrame, query: str) -> DataFrame:
@@ -56,13 +56,16 @@ def content_hits(chunks: DataFrame, query: str) -> DataFrame:
     terms = query_terms(query)
     if not terms:
         return chunks.where(F.lit(False)).select(F.col("id").alias("chunk_id"), "file_id", "ordinal", F.lit(0.0).alias("bm25"))
-    counted = _counted(chunks, terms)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
+    # document counts and lengths need every chunk; the hits only those that hold each term's first piece, a look that is cheap
+    likely = chunks
+    for p in terms:
+        likely = likely.where(fold(F.col("text")).contains(p[0]))
+    stats = _counted(chunks, terms).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
     every = F.lit(True)
     for k in range(len(terms)):
         every = every & (F.col(f"f{k}") > 0)
     score = sum((_bm25(F.col("n"), F.col(f"n{k}"), F.col(f"f{k}"), F.col("dl"), F.col("avgdl")) for k in range(len(terms))), F.lit(0.0))
-    return counted.where(every).crossJoin(F.broadcast(stats)).select("chunk_id", "file_id", "ordinal", score.alias("bm25"))  # stats: one row
+    return _counted(likely, terms).where(every).crossJoin(F.broadcast(stats)).select("chunk_id", "file_id", "ordinal", score.alias("bm25"))  # stats: one row
 
 
 def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
