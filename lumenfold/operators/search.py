@@ -100,9 +100,9 @@ def filename_search(files: DataFrame, query: str, limit: int, now: datetime, cfg
     else:
         grams = F.greatest(F.length("name") - 2, F.lit(0))
         tf = (F.length(name) - F.length(F.replace(name, F.lit(q), F.lit("")))) / len(q)
-        stats = files.agg(F.count("*").alias("n"), F.avg(grams).alias("avgdl"), F.count_if(name.contains(q)).alias("df"))
+        stats = files.agg(F.count("*").alias("_n"), F.avg(grams).alias("_avgdl"), F.count_if(name.contains(q)).alias("_df"))
         hits = live.where(name.contains(q)).crossJoin(F.broadcast(stats))  # one row
-        found = hits.withColumn("bm25", _bm25(F.col("n"), F.col("df"), tf, grams, F.col("avgdl"))).orderBy(F.col("bm25").desc(), "id").limit(3 * limit).select(*cols, "bm25", (F.col("bm25") * boosts).alias("score"))
+        found = hits.withColumn("bm25", _bm25(F.col("_n"), F.col("_df"), tf, grams, F.col("_avgdl"))).orderBy(F.col("bm25").desc(), "id").limit(3 * limit).select(*cols, "bm25", (F.col("bm25") * boosts).alias("score"))
     return found.orderBy(F.col("score").desc(), "path", "id").limit(limit)
 
 
@@ -336,8 +336,8 @@ def project_search(projects: DataFrame, query: str, limit: int) -> DataFrame:
         return projects.where(hit).withColumn("score", F.lit(0.0)).orderBy(F.length("name"), F.col("last_detected_at").desc(), "id").limit(limit)
     dl = sum((F.greatest(F.length(c) - 2, F.lit(0)) for c in cols), F.lit(0))
     tf = sum(((F.length(c) - F.length(F.replace(c, F.lit(q), F.lit("")))) / len(q) for c in cols), F.lit(0))
-    stats = projects.agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"), F.count_if(hit).alias("df"))
-    return projects.where(hit).crossJoin(F.broadcast(stats)).withColumn("score", _bm25(F.col("n"), F.col("df"), tf, dl, F.col("avgdl"))).drop("n", "avgdl", "df").orderBy(F.col("score").desc(), "id").limit(limit)
+    stats = projects.agg(F.count("*").alias("_n"), F.avg(dl).alias("_avgdl"), F.count_if(hit).alias("_df"))
+    return projects.where(hit).crossJoin(F.broadcast(stats)).withColumn("score", _bm25(F.col("_n"), F.col("_df"), tf, dl, F.col("_avgdl"))).drop("_n", "_avgdl", "_df").orderBy(F.col("score").desc(), "id").limit(limit)
 
 
 def list_projects(projects: DataFrame, limit: int) -> DataFrame:

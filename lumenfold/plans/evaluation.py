@@ -78,7 +78,7 @@ def grid_search(candidates: DataFrame, configs: DataFrame) -> DataFrame:
     rank = rows.groupBy("trial", "query_id", "r_file_id").agg(before.alias("rank")).groupBy("trial", "query_id").agg(F.min("rank").alias("rank"))
     n = candidates.select("query_id").distinct().agg(F.count("*").alias("n"))
     out = rank.groupBy("trial").agg(F.sum(F.when(F.col("rank") <= 10, 1.0 / F.col("rank")).otherwise(0.0)).alias("s"), F.sum(F.when(F.col("rank") <= 10, 1.0).otherwise(0.0)).alias("r"))
-    return configs.select("trial").join(out, "trial", "left").crossJoin(n).select("trial", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mrr"), (F.coalesce("r", F.lit(0.0)) / F.col("n")).alias("recall_at_10"))  # n: one row
+    return configs.select("trial").join(out, "trial", "left").crossJoin(n).select("trial", F.try_divide(F.coalesce("s", F.lit(0.0)), "n").alias("mrr"), F.try_divide(F.coalesce("r", F.lit(0.0)), "n").alias("recall_at_10"))  # n: one row
 
 
 def best_trial(trials: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Per path the latest change waits; it's released when `window` passes without another change. A deletion less than `window`
 after a creation or modification takes both away. The stateful stream keeps one waiting change per path and releases it by
-event-time timers; the batch form says the same by the neighbouring changes alone, since only gaps under `window` matter."""
+event-time timers; changes without path, kind or time are left out. The batch form says the same by the neighbouring changes alone, since only gaps under `window` matter."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def released(changes: DataFrame, window_ms: int = 500) -> DataFrame:
 
     A busy path is cut into time buckets; changes near a bucket's ends stand in the next one too, as neighbours only."""
     bucket = max(BUCKET_MS, 4 * window_ms)
-    c = changes.withColumn("ms", F.unix_millis("ts"))
+    c = changes.where("path IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL").withColumn("ms", F.unix_millis("ts"))
     own = F.floor(F.col("ms") / bucket)
     c = c.withColumn("own", own).withColumn("b", F.explode(F.array_distinct(F.array(F.col("own"), F.floor((F.col("ms") - window_ms) / bucket), F.floor((F.col("ms") + window_ms) / bucket)))))
     w = Window.partitionBy("path", "b").orderBy("ms", "seq")
@@ -79,7 +79,7 @@ def debounced_stream(changes: DataFrame, window_ms: int = 500, late: str = "10 s
 
     if exclude is not None:
         changes = changes.where(~exclude)
-    rows = changes.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    rows = changes.where("path IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
     return rows.groupBy("path").applyInPandasWithState(_debounce(window_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
