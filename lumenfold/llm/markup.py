@@ -15,7 +15,7 @@ Each construct met is counted by its language, so `constructs` > 0 names the tex
 (a row whose `source` flag is set), comparison signs, prices, paths, issue numbers, rows of asterisks and addresses in
 angle brackets are no constructs.
 
-Defined results: null text gives null clean text and 0 constructs; empty text stays; no length is cut.
+Defined results: rows without id are left out; null text gives null clean text and 0 constructs; empty text stays; no length is cut.
 """
 
 from __future__ import annotations
@@ -391,6 +391,7 @@ def clean_table(df: DataFrame, id_col: str, text_col: str, source: Column | None
     extra = extra or {}
     flag = F.coalesce(source, F.lit(False)) if source is not None else F.lit(False)
     rows = df.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in extra.items()], F.col(text_col).alias("_text"), flag.alias("_source"))
+    rows = rows.where(F.col("id").isNotNull())
     kept = ["id", *extra]
     # what has no sign of markup stays in the JVM
     read = ~F.col("_source") & F.coalesce(F.col("_text").rlike(QUICK), F.lit(False))
