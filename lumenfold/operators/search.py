@@ -326,10 +326,14 @@ def hybrid_search(index: dict[str, DataFrame], parsed: ParsedQuery, limit: int,
     return scored.withColumn("is_screenshot", shot).orderBy(F.col("score").desc(), "path", "file_id").limit(limit)
 
 
+PROJECT_COLUMNS = ["id", "path", "name", "project_type", "manifest_path", "readme_summary", "last_detected_at"]
+
+
 def project_search(projects: DataFrame, query: str, limit: int) -> DataFrame:
     """Projects whose name, path or summary hold the query, by BM25 over trigrams of the three together; shorter queries
     than three characters by substring, short names first."""
     q = query.strip().lower()
+    projects = projects.select(*[c for c in PROJECT_COLUMNS if c in projects.columns])
     cols = [F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "path", "readme_summary")]
     hit = cols[0].contains(q) | cols[1].contains(q) | cols[2].contains(q)
     if len(q) < 3:
