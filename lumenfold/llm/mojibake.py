@@ -6,7 +6,7 @@ another encoding; a second round leaves out what the first round's models doubt.
 undoes one reading: characters are put back to bytes of the encoding they were read in and decoded in the one they were
 written in; two chains may follow each other. A passage (sentence or line) is garbled if its likeliest chain beats the
 text as it stands by more than the margin. The margin is validated: it's set between the gains of clean passages and of
-passages garbled on purpose, both from a bounded sample of records (SAMPLE). Characters that were lost (U+FFFD) can't be
+the same passages garbled on purpose, each by one chain that can write it whole, counted over all passages of all records. Characters that were lost (U+FFFD) can't be
 restored; they make a passage garbled by themselves.
 
 Words are scored with the blanks around them, and a word's gain by each chain is kept per task, as words recur.
@@ -16,7 +16,9 @@ Defined results: null text is not garbled and stays null; empty text stays; text
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 from lumenfold.session import spread
 
 TRI, BI, UNI = 1 << 20, 1 << 18, 1 << 16
-SAMPLE = 4000
+#: Bins of gains: so many to a unit, from -SPAN to SPAN.
+FINE, SPAN = 16, 256
+#: Share of the garbled passages that the margin may miss; a tenth of it is the share of clean ones beyond its lower side.
+MISSED = 0.01
 #: Gain beyond which a passage isn't counted in the second round of training.
 DOUBT = 4.0
 READ_AS = ("cp1252", "cp1250", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "iso8859_2")
@@ -96,6 +101,9 @@ def undo(text: str, written: str, read_as: str) -> str:
 
 CHAINS: list[tuple[tuple[str, str], ...]] = [(("utf-8", r),) for r in READ_AS] + [(p,) for p in PAIRS] + [(("utf-8", a), ("utf-8", b)) for a in ("cp1252", "cp1250", "mac_roman", "cp437", "cp850", "cp1251") for b in ("cp1252", "cp1250", "cp1251") if a == b or b == "cp1252"]
 
+#: The first so many chains are of one reading.
+SINGLE = len(READ_AS) + len(PAIRS)
+
 
 def apply(text: str, chain: tuple[tuple[str, str], ...]) -> str:
     for written, read_as in chain:
@@ -234,27 +242,74 @@ class Judge:
         return "".join(out), bad
 
 
-def validated_margin(model: CharModel, first: CharModel, texts: list[str]) -> float:
-    """Between the gains of clean passages and of the same passages garbled, from a sample of clean texts. Passages that the
-    first model doubts are no clean ones."""
-    judge, doubt = Judge(model), Judge(first)
-    clean, bad = [], []
-    rng = np.random.default_rng(5)
-    for t in texts:
-        if not t or not looks_clean(t):
+def garble(passage: str) -> str | None:
+    """The passage as a chain of one reading garbles it: of those that can write all its characters and change it, one that
+    depends on the passage alone; None if there is none."""
+    for k in random.Random(zlib.crc32(passage.encode("utf-8"))).sample(range(SINGLE), SINGLE):
+        written, read_as = CHAINS[k][0]
+        try:
+            raw = passage.encode(written)
+        except UnicodeEncodeError:
             continue
-        for p in PASSAGE.findall(t)[:40]:
-            if NON_ASCII.search(p) and len(clean) < SAMPLE and doubt.best(p)[1] <= DOUBT:
-                clean.append(judge.best(p)[1])
-                written, read_as = CHAINS[rng.integers(len(READ_AS) + len(PAIRS))][0]
-                g = p.encode(written, "ignore")
-                g = "".join(chr(b) if b < 128 else _to_char(read_as)[b] for b in g)
-                if g != p:
-                    bad.append(judge.best(g)[1])
-    if not clean or not bad:
+        seen = "".join(chr(b) if b < 128 else _to_char(read_as)[b] for b in raw)
+        if seen != passage:
+            return seen
+    return None
+
+
+def _gains(models):
+    """Counts of gains, by bins, of the clean passages and of the same passages garbled. Passages that the first model doubts
+    are no clean ones."""
+
+    def run(batches):
+        model, first = models.value
+        judge, doubt = Judge(model), Judge(first)
+        counts = {"clean": np.zeros(2 * SPAN * FINE, np.int64), "bad": np.zeros(2 * SPAN * FINE, np.int64)}
+
+        def add(k: str, gain: float) -> None:
+            counts[k][min(max(int((gain + SPAN) * FINE), 0), 2 * SPAN * FINE - 1)] += 1
+
+        for pdf in batches:
+            for t in pdf["text"]:
+                if not t or not NON_ASCII.search(t) or not looks_clean(t):
+                    continue
+                for p in PASSAGE.findall(t):
+                    if NON_ASCII.search(p) and doubt.best(p)[1] <= DOUBT:
+                        add("clean", judge.best(p)[1])
+                        g = garble(p)
+                        if g is not None:
+                            add("bad", judge.best(g)[1])
+        for k, a in counts.items():
+            at = np.flatnonzero(a)
+            if len(at):
+                yield pd.DataFrame({"k": k, "bin": at, "n": a[at]})
+
+    return run
+
+
+def gain_counts(rows: DataFrame, models) -> dict[str, np.ndarray]:
+    """Over all passages of all clean records: how many gains lie in each bin, for the passages as they stand (clean) and
+    garbled (bad). models: the broadcast second and first model."""
+    got = rows.select("text").mapInPandas(_gains(models), "k string, bin long, n long").groupBy("k", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most two rows a bin
+    out = {}
+    for k in ("clean", "bad"):
+        part = got[got["k"] == k]
+        out[k] = np.zeros(2 * SPAN * FINE, np.int64)
+        out[k][part["bin"].to_numpy(dtype=np.int64)] = part["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def _quantile(counts: np.ndarray, q: float) -> float:
+    """The middle of the bin that holds the q-quantile."""
+    return (int(np.searchsorted(np.cumsum(counts), max(q * counts.sum(), 1))) + 0.5) / FINE - SPAN
+
+
+def validated_margin(counts: dict[str, np.ndarray]) -> float:
+    """Between the gains of clean passages and of the same passages garbled."""
+    if not counts["clean"].any() or not counts["bad"].any():
         return 6.0
     # as far above the clean gains as may be without missing more than a hundredth of the garbled passages
-    low, high = float(np.max(clean)), float(np.quantile(bad, 0.01))
+    low, high = _quantile(counts["clean"], 1 - MISSED / 10), _quantile(counts["bad"], MISSED)
     return float(np.clip((low + high) / 2, 4.0, 12.0))
 
 
@@ -264,8 +319,8 @@ def judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     first = train(rows)
     model = train(rows, spark.sparkContext.broadcast(first))  # fixed size: TRI + BI + UNI counters
-    sample = [r.text for r in rows.where(F.col("text").rlike(r"[^\x00-\x7f]")).orderBy(F.xxhash64("id")).limit(SAMPLE).collect()]
-    shared = spark.sparkContext.broadcast((model, validated_margin(model, first, sample)))
+    margin = validated_margin(gain_counts(rows, spark.sparkContext.broadcast((model, first))))
+    shared = spark.sparkContext.broadcast((model, margin))
 
     def run(batches):
         judge = Judge(*shared.value)

@@ -37,3 +37,18 @@ def test_chains_undo_what_was_done():
 def test_empty(spark):
     df, _ = corpus(spark)
     assert mj.judged(df.limit(0), "id", "text").count() == 0
+
+
+def test_garbling_drops_no_character():
+    for s in SENTENCES[:6]:
+        g = mj.garble(s)
+        assert g and g != s and any(mj.apply(g, c) == s for c in mj.CHAINS)
+    assert mj.garble(SENTENCES[6]) is None
+
+
+def test_margin_counts_every_passage(spark):
+    texts = spark.createDataFrame([(" ".join(SENTENCES[(k + j) % 6] for j in range(102)),) for k in range(60)], "text string")
+    first = mj.train(texts)
+    counts = mj.gain_counts(texts, spark.sparkContext.broadcast((first, first)))
+    assert counts["clean"].sum() == 60 * 102 and counts["bad"].sum() == 60 * 102
+    assert mj._quantile(counts["clean"], 1.0) < 0 < mj._quantile(counts["bad"], mj.MISSED)
