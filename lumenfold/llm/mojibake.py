@@ -2,7 +2,8 @@
 
 Smoothed character n-gram models (3-, 2- and 1-grams in tables of fixed size) are trained on all clean records, that is
 those without lost or control characters and without a passage in which half of the letters above 127 read as UTF-8 seen in
-another encoding; a second round leaves out what the first round's models doubt. A chain
+another encoding; a second round leaves out what the first round's models doubt. A text counts once, under however many ids it stands; every
+record is judged. A chain
 undoes one reading: characters are put back to bytes of the encoding they were read in and decoded in the one they were
 written in; two chains may follow each other. A passage (sentence or line) is garbled if its likeliest chain beats the
 text as it stands by more than the margin. The margin is validated: it's set between the gains of clean passages and of
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.session import spread
+from lumenfold.session import scratch, spread
 
 TRI, BI, UNI = 1 << 20, 1 << 18, 1 << 16
 #: Bins of gains: so many to a unit, from -SPAN to SPAN.
@@ -317,9 +318,12 @@ def judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, restored (the text, restored where possible), garbled."""
     rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     spark = docs.sparkSession
-    first = train(rows)
-    model = train(rows, spark.sparkContext.broadcast(first))  # fixed size: TRI + BI + UNI counters
-    margin = validated_margin(gain_counts(rows, spark.sparkContext.broadcast((model, first))))
+    path = scratch(spark, "mojibake-texts")
+    rows.where("text != ''").select("text").distinct().write.parquet(path)
+    once = spread(spark.read.parquet(path))
+    first = train(once)
+    model = train(once, spark.sparkContext.broadcast(first))  # fixed size: TRI + BI + UNI counters
+    margin = validated_margin(gain_counts(once, spark.sparkContext.broadcast((model, first))))
     shared = spark.sparkContext.broadcast((model, margin))
 
     def run(batches):

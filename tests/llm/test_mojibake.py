@@ -52,3 +52,11 @@ def test_margin_counts_every_passage(spark):
     counts = mj.gain_counts(texts, spark.sparkContext.broadcast((first, first)))
     assert counts["clean"].sum() == 60 * 102 and counts["bad"].sum() == 60 * 102
     assert mj._quantile(counts["clean"], 1.0) < 0 < mj._quantile(counts["bad"], mj.MISSED)
+
+
+def test_copies_of_a_garbled_text_do_not_speak_for_it(spark):
+    df, bad = corpus(spark)
+    text = " ".join(s for s in SENTENCES[3:4] * 3).encode("cp1251").decode("cp1252")
+    copies = spark.createDataFrame([(5000 + k, text, "x") for k in range(900)], df.schema)
+    got = mj.judged(df.unionByName(copies), "id", "text").where("garbled").select("id").collect()
+    assert {r.id for r in got} == set(bad) | set(range(5000, 5900))
