@@ -12,7 +12,7 @@ from lumenfold.functions.text import sentences
 from lumenfold.functions.vectors import rms
 from lumenfold.operators import blocks, catalog, extension, pipeline, symbols
 from lumenfold.plans import evaluation
-from lumenfold.plans.nlq import parsed_table
+from lumenfold.plans.nlq import parsed
 from lumenfold.plans.search_queries import CHU, CUR, MODEL, NOW, chunks_of, files_of, images_of, projects_of, tags_of, vectors_of
 from lumenfold.session import scratch, table
 from lumenfold.sources import projects as project_source
@@ -317,8 +317,8 @@ def project_detect(spark, sf):
 
 @query("nlq_batch")
 def nlq_batch(spark, sf):
-    """The query parser over project names as queries."""
-    return parsed_table(spark, ["pdf reports from last month", "where is my gateway project", "screenshots yesterday", "rust code under services", "payment qr code", "invoice since march", "notes about the audit in 2024"], NOW)
+    """The query parser over all distinct project names as queries."""
+    return parsed(table(spark, sf, "projects"), "name", NOW)
 
 
 # change stream

@@ -1,4 +1,4 @@
-"""Natural-language queries to filters and residual text. Runs on the driver while a plan is built.
+"""Natural-language queries to filters and residual text. Runs on the driver while a plan is built, or over a column in Arrow batches.
 
 Rules run in a fixed order over the lower-cased query; each match marks a span that leaves the residual text. Later date
 rules overwrite earlier ones. Spans are in characters.
@@ -10,6 +10,10 @@ import re
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lumenfold.functions.dates import end_of_day, month_range, start_of_day, year_range
 
 # The word lists of the rules.
@@ -308,10 +312,25 @@ def parse_query(raw: str, now: datetime) -> ParsedQuery:
 PARSED = "raw string, text string, file_types array<string>, after timestamp, before timestamp, location_hints array<string>, tag_filters array<string>, is_project_query boolean, is_screenshot_query boolean, is_visual_query boolean, use_ctime boolean"
 
 
+def _row(q: str, now: datetime) -> tuple:
+    p = parse_query(q, now)
+    return (p.raw, p.text, p.file_types, p.after and p.after.replace(tzinfo=None), p.before and p.before.replace(tzinfo=None), p.location_hints, p.tag_filters, p.is_project_query, p.is_screenshot_query, p.is_visual_query, p.use_ctime)
+
+
 def parsed_table(spark, queries: list[str], now: datetime):
     """The batch form: one row per query."""
-    rows = []
-    for q in queries:
-        p = parse_query(q, now)
-        rows.append((p.raw, p.text, p.file_types, p.after and p.after.replace(tzinfo=None), p.before and p.before.replace(tzinfo=None), p.location_hints, p.tag_filters, p.is_project_query, p.is_screenshot_query, p.is_visual_query, p.use_ctime))
-    return spark.createDataFrame(rows, PARSED)
+    return spark.createDataFrame([_row(q, now) for q in queries], PARSED)
+
+
+def parsed(queries: DataFrame, column: str, now: datetime) -> DataFrame:
+    """The same over a column: one row per distinct query; nulls have none."""
+    names = [part.split()[0] for part in PARSED.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            got = pd.DataFrame([_row(q, now) for q in pdf["q"]], columns=names)
+            for c in ("after", "before"):
+                got[c] = pd.to_datetime(got[c])
+            yield got
+
+    return queries.select(F.col(column).alias("q")).where("q IS NOT NULL").distinct().mapInPandas(run, PARSED)

@@ -2,7 +2,8 @@ from datetime import UTC, datetime
 
 import pytest
 
-from lumenfold.plans.nlq import numeric_date, parse_query
+from lumenfold.plans.ingest_queries import QUERIES
+from lumenfold.plans.nlq import numeric_date, parse_query, parsed, parsed_table
 
 NOW = datetime(2026, 9, 22, 14, 30, tzinfo=UTC)
 
@@ -52,3 +53,12 @@ def test_has_filters():
 
 def test_numeric_dates():
     assert numeric_date("2024/02/30") is None and numeric_date("1-2-3") is None and numeric_date("12-31-2024") == d(2024, 12, 31)
+
+
+def test_column_form_equals_the_driver_form(spark, tmp_path):
+    queries = [q for q, _ in CASES]
+    df = spark.createDataFrame([(q,) for q in [*queries, *queries[:3], None]], "name string")
+    got, want = parsed(df, "name", NOW).collect(), parsed_table(spark, queries, NOW).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    df.write.parquet(f"{tmp_path}/projects.parquet")
+    assert sorted(r.raw for r in QUERIES["nlq_batch"](spark, str(tmp_path)).collect()) == sorted(queries)
