@@ -5,8 +5,9 @@ blocks of the document open with) or a page number is dropped. A word broken by
 block is joined; a compound of two known words whose joined form is unknown keeps its hyphen. Misread and split words are
 corrected by a noisy channel: the probability of the character confusions that lead from a candidate word to what stands
 there, times the likelihood of the candidates by word unigrams and bigrams, decoded by Viterbi over the candidates of each
-line. The n-grams are counted over all blocks. Candidates come from undoing up to two confusions per word and are kept if
-the corpus has them far more often than the form that stands there.
+line. The n-grams are counted over all blocks: once per distinct block text, so a scan held under many files is one
+witness, and by blocks; what they decide is applied to every block. Candidates come from undoing up to two confusions per word and are
+kept if the corpus has them far more often than the form that stands there, be it by distinct texts or by blocks.
 
 All tables that grow with the corpus (counts, candidates, bigrams) stay distributed and are joined by word; a line's
 lattice is the largest thing held at once.
@@ -156,21 +157,21 @@ def _undo(word: str) -> dict[str, float]:
 def _variants(batches):
     for pdf in batches:
         out = []
-        for w, n in zip(pdf["w"], pdf["n"]):
+        for w, n, copies in zip(pdf["w"], pdf["n"], pdf["copies"]):
             if len(w) > 40 or not any(c.isalpha() for c in w):
                 continue
             for cand, cost in _undo(w).items():
                 if cand.isalpha() and len(cand) > 1:
-                    out.append((w, n, cand, cost))
-        yield pd.DataFrame(out, columns=["w", "n", "cand", "cost"])
+                    out.append((w, n, copies, cand, cost))
+        yield pd.DataFrame(out, columns=["w", "n", "copies", "cand", "cost"])
 
 
 def corrections(words: DataFrame) -> DataFrame:
-    """w, n, cands: candidates of every word form that has some. words: w, n."""
-    forms = words.mapInPandas(_variants, "w string, n long, cand string, cost double")
-    known = words.select(F.col("w").alias("cand"), F.col("n").alias("cn"))
-    kept = forms.join(known, "cand").where(F.col("cn") >= F.col("n") * RATIO)
-    return kept.groupBy("w").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("cost", "cand", "cn"))).alias("cands"))
+    """w, n, copies, cands: candidates of every word form that has some. words: w, n (over distinct texts), copies (over all blocks)."""
+    forms = words.mapInPandas(_variants, "w string, n long, copies long, cand string, cost double")
+    known = words.select(F.col("w").alias("cand"), F.col("n").alias("cn"), F.col("copies").alias("ccopies"))
+    kept = forms.join(known, "cand").where((F.col("cn") >= F.col("n") * RATIO) | (F.col("ccopies") >= F.col("copies") * RATIO))
+    return kept.groupBy("w").agg(F.first("n").alias("n"), F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("cost", "cand", "cn", "ccopies"))).alias("cands"))
 
 
 def _lattice(batches):
@@ -187,12 +188,20 @@ def _lattice(batches):
         yield pd.DataFrame(out, columns=["line_id", "a", "b"]).drop_duplicates()
 
 
-def _decode(total: int):
-    """Viterbi over the candidates of each line. Rows: block, line, toks, spots, pairs (the bigram counts the lattice needs)."""
+def _decode(totals: dict[str, int]):
+    """Viterbi over the candidates of each line, by the counts of blocks (copies) and of distinct texts (n); where both change
+    a word, the latter holds. Rows: block, line, toks, spots, pairs (the bigram counts the lattice needs)."""
 
     def one(toks: list[str], spots, pairs) -> list[tuple[int, str, str]]:
-        bi = {(p["a"], p["b"]): (int(p["n"]), int(p["na"])) for p in pairs} if pairs is not None else {}
-        at = {int(s["pos"]): s for s in spots}
+        found = {c[0]: c for by in ("copies", "n") for c in path(toks, spots, pairs, by)}
+        return [found[i] for i in sorted(found)]
+
+    def path(toks: list[str], spots, pairs, by: str) -> list[tuple[int, str, str]]:
+        total = totals[by]
+        bi = {(p["a"], p["b"]): (int(p[by]), int(p[f"{by}a"])) for p in pairs} if pairs is not None else {}
+        at = {int(s["pos"]): {"n": s[by], "cands": kept} for s in spots if (kept := [{"cand": c["cand"], "cost": c["cost"], "cn": c[f"c{by}"]} for c in s["cands"] if c[f"c{by}"] >= s[by] * RATIO])}
+        if not at:
+            return []
 
         def state(i):
             """form, cost, unigram count, share of its own count that speaks for it"""
@@ -250,39 +259,46 @@ class ScanRepair:
         blocks.dropDuplicates(["origin", "file_id", "block_no"]).withColumn("block", F.concat_ws("/", "origin", "file_id", "block_no")).write.parquet(path)
         self.blocks = spark.read.parquet(path)
         self.lines = self.blocks.select("block", F.posexplode("toks").alias("line", "toks")).where(F.col("toks") != "")
-        flat = self.lines.select("block", "line", F.split("toks", " ").alias("t"))
+        # copies of a text, under whatever file, are counted once in n and each in copies; lines settle the tokens
+        once = self.blocks.groupBy(F.sha2(F.concat_ws("\n", "lines"), 256).alias("text_hash"), "toks").agg(F.count("*").alias("copies"))
+        flat = once.select("copies", F.explode("toks").alias("toks")).where(F.col("toks") != "").select("copies", F.split("toks", " ").alias("t"))
+        counts = (F.count("*").alias("n"), F.sum("copies").alias("copies"))
         word_path = scratch(spark, "scan-words")
-        flat.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n")).write.parquet(word_path)
+        flat.select("copies", F.explode("t").alias("w")).groupBy("w").agg(*counts).write.parquet(word_path)
         self.words = spark.read.parquet(word_path)
         pair = F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("a"), F.slice("t", 2, F.size("t") - 1).alias("b")))
         pairs_path = scratch(spark, "scan-pairs")
-        flat.where(F.size("t") > 1).select(pair.alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")).write.parquet(pairs_path)
+        flat.where(F.size("t") > 1).select("copies", pair.alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(*counts).write.parquet(pairs_path)
         self.pairs = spark.read.parquet(pairs_path)
 
     def changes(self) -> DataFrame:
         """block, line, pos, was, word: words the decoding changed."""
         fix = corrections(self.words)
-        total = self.words.agg(F.sum("n")).first()[0] or 1
+        totals = {k: v or 1 for k, v in self.words.agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).first().asDict().items()}
         spots = (
             self.lines.select("block", "line", F.posexplode(F.split("toks", " ")).alias("pos", "w"))
             .join(fix, "w")
             .groupBy("block", "line")
-            .agg(F.collect_list(F.struct("pos", "n", "cands")).alias("spots"))
+            .agg(F.collect_list(F.struct("pos", "n", "copies", "cands")).alias("spots"))
         )
         doubtful = self.lines.join(spots, ["block", "line"]).withColumn("line_id", F.concat_ws("/", "block", "line"))
         needed = doubtful.select("line_id", "toks", "spots").mapInPandas(_lattice, "line_id string, a string, b string")
-        first = self.words.select(F.col("w").alias("a"), F.col("n").alias("na"))
-        counted = needed.join(self.pairs, ["a", "b"]).join(first, "a").groupBy("line_id").agg(F.collect_list(F.struct("a", "b", "n", "na")).alias("pairs"))
+        first = self.words.select(F.col("w").alias("a"), F.col("n").alias("na"), F.col("copies").alias("copiesa"))
+        counted = needed.join(self.pairs, ["a", "b"]).join(first, "a").groupBy("line_id").agg(F.collect_list(F.struct("a", "b", "n", "na", "copies", "copiesa")).alias("pairs"))
         lines = doubtful.join(counted, "line_id", "left").select("block", "line", "toks", "spots", "pairs")
-        return lines.mapInPandas(_decode(total), "block string, line int, pos int, was string, word string")
+        return lines.mapInPandas(_decode(totals), "block string, line int, pos int, was string, word string")
 
     def splits(self) -> DataFrame:
         """a, b: word pairs that are one word torn apart: the joined form is frequent, the pair isn't, and a part is no word by itself."""
-        known = self.words.select(F.col("w").alias("ab"), F.col("n").alias("nab"))
-        na, nb = (self.words.select(F.col("w").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+        known, na, nb = (self.words.select(F.col("w").alias(c), F.col("n").alias(f"n{c}"), F.col("copies").alias(f"copies{c}")) for c in ("ab", "a", "b"))
+
+        def rare(n: str):
+            """By distinct texts (n) or by blocks (copies)."""
+            return (F.log(f"{n}ab") - SPLIT_COST > F.log(n)) & (F.least(f"{n}a", f"{n}b") * RATIO <= F.col(f"{n}ab"))
+
         letters = F.col("a").rlike(r"^\p{L}+$") & F.col("b").rlike(r"^\p{L}+$")
-        torn = self.pairs.where(letters).withColumn("ab", F.concat("a", "b")).join(known, "ab").where(F.log("nab") - SPLIT_COST > F.log("n"))
-        return torn.join(na, "a").join(nb, "b").where(F.least("na", "nb") * RATIO <= F.col("nab")).select("a", "b", "ab")
+        torn = self.pairs.where(letters).withColumn("ab", F.concat("a", "b")).join(known, "ab").where((F.log("nab") - SPLIT_COST > F.log("n")) | (F.log("copiesab") - SPLIT_COST > F.log("copies")))
+        return torn.join(na, "a").join(nb, "b").where(rare("n") | rare("copies")).select("a", "b", "ab")
 
     def torn(self) -> DataFrame:
         """block, line, pos, word: places of such pairs."""
@@ -293,7 +309,7 @@ class ScanRepair:
     def breaks(self) -> DataFrame:
         """block, line, joined: broken words; joined is false for a hyphenated compound that only stands at the end of a line."""
         b = self.blocks.select("block", F.explode("breaks").alias("x")).select("block", "x.*").withColumn("ab", F.concat("left", "right"))
-        n = lambda c, out: self.words.select(F.col("w").alias(c), F.col("n").alias(out))
+        n = lambda c, out: self.words.select(F.col("w").alias(c), F.col("copies").alias(out))
         b = b.join(n("ab", "nab"), "ab", "left").join(n("left", "nl"), "left", "left").join(n("right", "nr"), "right", "left")
         compound = (F.col("mark") == "-") & F.col("nab").isNull() & (F.coalesce("nl", F.lit(0)) >= 3) & (F.coalesce("nr", F.lit(0)) >= 3)
         return b.select("block", "line", (~compound).alias("joined"))

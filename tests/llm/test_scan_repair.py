@@ -29,6 +29,17 @@ def test_found_and_repaired(spark):
     assert "well-known" in text[100, 0]
 
 
+def test_copies_of_a_scan_are_one_witness(spark):
+    clean = "the worker left the drawer by the lighthouse number "
+    rows = [(k, None, b(f"{clean}{k}"), "x") for k in range(100, 160)]
+    rows += [(k, None, b("the dravver was left bet ween two posts"), "x") for k in range(40)]
+    rows += [(k, None, b(f"it stood between the posts of row {k}"), "x") for k in range(200, 240)]
+    s = sr.ScanRepair(sr.read_layout(spark.createDataFrame(rows, f"file_id long, title string, blocks {BLOCK}, block string"), "d", "blocks", "title"))
+    assert {r.w: r.n for r in s.words.where("w in ('dravver', 'drawer', 'ween')").collect()} == {"dravver": 1, "drawer": 60, "ween": 1}
+    assert {r.file_id for r in s.found().collect()} == set(range(40))
+    assert {r.text for r in s.repaired().where("file_id < 40").collect()} == {"the drawer was left between two posts"}
+
+
 def test_empty(spark):
     s = sr.ScanRepair(sr.read_layout(docs(spark).limit(0), "d", "blocks", "title"))
     assert s.found().count() == 0 and s.repaired().count() == 0
