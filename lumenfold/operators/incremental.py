@@ -1,9 +1,10 @@
 """Processing only new or changed records.
 
-The operator keeps a *state*: one row per key with the fingerprint of the record as last processed. A run hashes the
-current rows, joins them with the state and gets `add`, `change` and `delete`; after the run has succeeded, the next
+The operator keeps a *state*: one row per key with the fingerprint of the record as last processed. A run joins the
+current rows, whose content hash is given, with the state and gets `add`, `change` and `delete`; after the run has succeeded, the next
 state is written as a new version and the version pointer is swapped by one atomic rename. A run that dies before the
 swap leaves the old version in force, so its records come again; a record of a finished run doesn't.
+`pending` derives the state from the log instead and stores nothing; `VersionedState` is the stored form.
 
 Defined results: rows with a null key are ignored; a null `seen_at` is older than any other; exact redeliveries count
 once; a null status counts as neither error nor deleted; an empty log gives an empty result; extra columns are ignored.
