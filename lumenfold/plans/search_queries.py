@@ -21,7 +21,7 @@ NOW = datetime(2026, 9, 22, 14, 30, tzinfo=UTC)
 CFG = R.RankingConfig()
 MODEL = "desk-embed-small-v2"
 QUERY_VECTOR = line_vector(96, 7)
-CONTENT = "dusty ledger"
+CONTENT = "seasonal ledger"
 NAME = "ledger"
 
 
@@ -376,7 +376,7 @@ def hybrid_fallback_relaxed(spark, sf):
 @query("hybrid_search")
 def hybrid_search(spark, sf):
     """The full answer: nested further matches, snippets and flags."""
-    got = _hybrid(spark, sf, "dusty ledger", True)
+    got = _hybrid(spark, sf, CONTENT, True)
     return got.select("file_id", "path", "name", F.round("score", 6).alias("score"), "match_type", F.col("primary.snippet").alias("snippet"), F.col("primary.page").alias("page"), F.col("primary.section").alias("section"), F.size("matches").alias("more"), "is_screenshot")
 
 

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_scratch_roots: set[str] = set()
 
 
 def local_session(app: str = "lumenfold", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -31,15 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Read from the session; only where nothing is set (tests, one machine) a local one is made."""
+    """The folder all executors share. Read from the session; only where nothing is set and all runs on one machine (tests) a
+    local one is made. On a cluster without the setting this fails, as a machine's own folder would lose data."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lumenfold-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: joined by sort and merge, never broadcast on a guess of its size."""
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder; a lost executor costs nothing that was computed before."""
     shared_dir(df.sparkSession)
@@ -54,7 +64,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one folder of this application, which goes when the application ends."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/lumenfold-{sc.applicationId}"
+    if root not in _scratch_roots:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _scratch_roots.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:

@@ -26,3 +26,31 @@ def write(kind: str, out: str) -> str:
                     t = t.append_column(c, pa.array(["clash"] * t.num_rows))
         pq.write_table(t, f"{out}/{os.path.basename(p)}")
     return out
+
+
+def duck_tables(sf: str = SF):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for p in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    return con
+
+
+def _plain(v):
+    if isinstance(v, float):
+        return f"{v:.9g}"
+    if isinstance(v, list | tuple):
+        return str([_plain(x) for x in v])
+    return str(v)
+
+
+def same_rows(df, con, sql: str) -> None:
+    cols = sorted(df.columns)
+    r = con.execute(sql)
+    names = [d[0] for d in r.description]
+    assert sorted(names) == cols
+    at = [names.index(c) for c in cols]
+    want = sorted(tuple(_plain(row[i]) for i in at) for row in r.fetchall())
+    assert sorted(tuple(_plain(v) for v in row) for row in df.select(*cols).collect()) == want
