@@ -49,3 +49,45 @@ def test_layout_rules():
     assert sr.layout(["Page 1 of 3"], None) == [(0, False, ["Page 1 of 3"])]  # a block that is one line stays
     assert sr.layout(["text\n[4]"], None)[0][1] and sr.layout(["text\n- 4 -"], None)[0][1] and sr.layout(["text\np. 4"], None)[0][1]
     assert not sr.layout(["text\nvalve  82  115"], None)[0][1]
+
+
+def test_running_lines_of_any_length_at_either_end():
+    long = "a running title of very many words " * 5
+    assert [x[1] for x in sr.layout([f"{long}\nfirst text here", f"{long}\nother text there", "no title\nin this one"], None)] == [True, True, False]
+    assert [x[1] for x in sr.layout(["first text here\nSEASONAL HANDBOOK  3", "other text there\nSEASONAL HANDBOOK  4"], None)] == [True, True]
+    assert [x[1] for x in sr.layout(["first text here\nof the archive.", "other text there\nof the archive."], None)] == [False, False]
+
+
+def test_distance():
+    import random
+
+    def plain(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            cur = [i]
+            for j, y in enumerate(b, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+            prev = cur
+        return prev[-1]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(2))
+        assert sr._distance(a, b) == plain(a, b)
+
+
+def test_alignment_has_no_limit_of_length_or_misreadings():
+    assert all(sr.skeleton(p) == sr.skeleton(r) for p, r in sr.CONFUSIONS)
+    assert sr.align("drawer", "clravver") is not None and len(sr.align("drawer", "clravver")) == 2
+    word = "ledclamp" * 12
+    assert len(sr.align(word, word.replace("l", "1").replace("e", "c"))) == 36
+    assert sr.align("drawer", "drawer") is None and sr.align("drawer", "draper") is None
+
+
+def test_many_misread_signs_in_a_long_word(spark):
+    word = "leuchtturmwaerterhaeuschenschluesselanhaengerbeschriftung"
+    rows = [(k, None, b(f"the {word} of row {k}"), "x") for k in range(400)]
+    rows += [(999, None, b(f"the {word.replace('l', '1').replace('h', 'b')} of row 12"), "x")]
+    s = sr.ScanRepair(sr.read_layout(spark.createDataFrame(rows, f"file_id long, title string, blocks {BLOCK}, block string"), "d", "blocks", "title"))
+    assert {r.file_id for r in s.found().collect()} == {999}
+
