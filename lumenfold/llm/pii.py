@@ -2,10 +2,11 @@
 
 The field is trained from the small labelled table of pii_labels by gradient steps on the conditional log-likelihood
 (forward-backward in numpy over the whole table at once) and decoded by Viterbi in numpy batches of segments. A token's
-features are its form (digits made 0), lower form, shape, ends and length; each is seen from two tokens before to two
-after. As features hang on token types, the emission of a position is a sum of five rows of type tables; types are few.
+features are its form (digits made 0), lower form, shape, ends and length; each is seen at places up to four tokens
+after and two before it. As features hang on token types, the emission of a position is a sum of seven rows of type tables; types are few.
 
-Segments (lines, split at sentence ends) that lack what all kinds need by their definitions (CUE) aren't tagged. Spans that lack what their kind needs by definition (an
+Every segment (lines, split at sentence ends) of every text is scored. Where the scores prove that the best path has no label
+the path itself isn't traced; the result is the same. Spans that lack what their kind needs by definition (an
 email needs an at and a host, a phone seven digits, and so on) are dropped after decoding. The text with typed placeholders
 ([EMAIL], [PHONE], ...) is the text with these spans replaced.
 
@@ -15,6 +16,7 @@ Defined results: null text has no kinds and null masked text; empty text stays;
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -29,19 +31,15 @@ from lumenfold.session import spread
 TOKEN = re.compile(r"%[0-9A-Fa-f]{2}|[^\W\d_]+|\d+|\n|[^\w\s]|_")
 SPLIT = re.compile(r"\n+|(?<=[^\W\d_A-Z]{3}[.!?])(?<!Prof\.)(?<!prof\.)[ \t]+")
 AT = re.compile(r"@|%40|\(at\)|\[at\]|\{at\}|\bat\b[^\n]*\bdot\b", re.I)
-#: What the kinds need by their definitions: an at sign; six digits in a run; a number beside a capitalised word; two
-#: capitalised words, or an initial or title and one, side by side. A segment without any of it is not tagged.
-CUE = re.compile(
-    r"@|%40|[\[({][aA][tT][\])}]|\bdot\b"
-    r"|(?<!\d)(?!\d{4}-\d\d-\d\dT)\d[\d ()./+-]{4,}\d"
-    r"|\b[A-ZÀ-ÖØ-Þ][\w'’-]*(?:[.,;]?[ \t]+|[.,;]|\+|%20)[A-ZÀ-ÖØ-Þ][\w.]"
-    r"|\b[A-ZÀ-ÖØ-Þ]\w+,? \d|\d[A-Za-z]?,? (?:[a-zà-ÿ']+ ){0,2}[A-ZÀ-ÖØ-Þ]"
-)
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 L = len(LABELS)
 BUCKETS = 1 << 15
-OFFSETS = (-2, -1, 0, 1, 2)
-MAX_TOKENS = 512
+OFFSETS = (-4, -3, -2, -1, 0, 1, 2)
+#: A form must stand so often in the training table to have a feature of its own.
+KNOWN = 5
+PAD = max(map(abs, OFFSETS))
+#: Places of a padded batch of segments.
+PLACES = 1 << 18
 
 
 def token_type(tok: str) -> str:
@@ -56,15 +54,16 @@ class _Norm(dict):
         return t
 
 
-def _features(t: str) -> list[str]:
+def _features(t: str, known: bool) -> list[str]:
     shape = re.sub(r"[a-zà-ÿ]+", "x", re.sub(r"[A-ZÀ-Þ]", "X", t))
     low = t.lower()
-    return ["w=" + low, "s=" + shape, "b=" + low[:3], "e=" + low[-3:], "e4=" + low[-4:], "c=" + (t[:1].isupper() and "U" or t.isdigit() and "D" or t.isalpha() and "l" or t), f"n={min(len(t), 8)}{t.isdigit()}", "1"]
+    return ["w=" + low if known else "w?", "s=" + shape, "b=" + low[:3], "e=" + low[-3:], "e4=" + low[-4:], "c=" + (t[:1].isupper() and "U" or t.isdigit() and "D" or t.isalpha() and "l" or t), f"n={min(len(t), 8)}{t.isdigit()}", "1"]
 
 
 @lru_cache(maxsize=1 << 16)
-def feature_ids(t: str) -> tuple[int, ...]:
-    return tuple(xxhash.xxh32_intdigest(f) % BUCKETS for f in _features(t))
+def feature_ids(t: str, known: bool) -> tuple[int, ...]:
+    """known: the form stands often in the training table; all others share one form, as words of the data mostly are new."""
+    return tuple(xxhash.xxh32_intdigest(f) % BUCKETS for f in _features(t, known))
 
 
 class Types(dict):
@@ -95,15 +94,15 @@ def _labelled(row: str) -> tuple[list[str], list[int]]:
 
 
 class Model:
-    """weights: (offset, bucket, label); trans: (label, label); start: label."""
+    """weights: (offset, bucket, label); trans: (label, label); start: label; known: lower forms with a feature of their own."""
 
-    def __init__(self, weights: np.ndarray, trans: np.ndarray, start: np.ndarray):
-        self.weights, self.trans, self.start = weights, trans, start
+    def __init__(self, weights: np.ndarray, trans: np.ndarray, start: np.ndarray, known: frozenset[str] = frozenset()):
+        self.weights, self.trans, self.start, self.known = weights, trans, start, known
 
 
-def _matrix(names: list[str]) -> np.ndarray:
+def _matrix(names: list[str], known: frozenset[str]) -> np.ndarray:
     """(type, feature): every token has the same number of features."""
-    return np.array([feature_ids(t) for t in names])
+    return np.array([feature_ids(t, t.lower() in known) for t in names])
 
 
 class _Adder:
@@ -128,8 +127,8 @@ def _pad(seqs: list[list[int]], fill: int) -> np.ndarray:
 
 def _emissions(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
     """tables: (offset, type, label); x: (segment, place), 0 outside."""
-    wide = np.pad(x, ((0, 0), (2, 2)))
-    return sum(tables[k][wide[:, 2 + o : 2 + o + x.shape[1]]] for k, o in enumerate(OFFSETS))
+    wide = np.pad(x, ((0, 0), (PAD, PAD)))
+    return sum(tables[k][wide[:, PAD + o : PAD + o + x.shape[1]]] for k, o in enumerate(OFFSETS))
 
 
 class _Bucket:
@@ -140,28 +139,28 @@ class _Bucket:
         self.mask = y >= 0
         self.last = self.mask.sum(1) - 1
         n, T = self.x.shape
-        self.hot = np.zeros((n, T, L))
+        self.hot = np.zeros((n, T, L), dtype=np.float32)
         self.hot[np.nonzero(self.mask) + (y[self.mask],)] = 1
         self.gold = np.zeros((L, L))
         for t in range(1, T):
             ok = self.mask[:, t]
             np.add.at(self.gold, (y[ok, t - 1], y[ok, t]), 1)
-        wide = np.pad(self.x, ((0, 0), (2, 2)))
-        self.by_type = [_Adder(wide[:, 2 + o : 2 + o + T][self.mask]) for o in OFFSETS]
+        wide = np.pad(self.x, ((0, 0), (PAD, PAD)))
+        self.by_type = [_Adder(wide[:, PAD + o : PAD + o + T][self.mask]) for o in OFFSETS]
 
     def gradients(self, tables: np.ndarray, A: np.ndarray, S: np.ndarray):
         """Of the negative log-likelihood: by label at each position of a sequence, by transition, by first label."""
         n, T = self.x.shape
-        e = _emissions(tables, self.x)
+        e = _emissions(tables.astype(np.float32), self.x)
         e = np.exp(e - e.max(-1, keepdims=True))
-        trans = np.exp(A)
-        a = np.zeros((n, T, L))
-        a[:, 0] = e[:, 0] * np.exp(S)
+        trans = np.exp(A).astype(np.float32)
+        a = np.zeros((n, T, L), dtype=np.float32)
+        a[:, 0] = e[:, 0] * np.exp(S).astype(np.float32)
         a[:, 0] /= a[:, 0].sum(-1, keepdims=True)
         for t in range(1, T):
             z = (a[:, t - 1] @ trans) * e[:, t]
             a[:, t] = z / z.sum(-1, keepdims=True)
-        b = np.zeros((n, T, L))
+        b = np.zeros((n, T, L), dtype=np.float32)
         moves = np.zeros((L, L))
         for t in range(T - 1, -1, -1):
             b[self.last == t, t] = 1.0
@@ -169,12 +168,12 @@ class _Bucket:
                 go = self.last > t
                 u = e[go, t + 1] * b[go, t + 1]
                 z = u @ trans.T
-                b[go, t] = z / np.maximum(z.sum(-1, keepdims=True), 1e-300)
+                b[go, t] = z / np.maximum(z.sum(-1, keepdims=True), 1e-30)
                 # expected moves: a_i * trans_ij * u_j over its sum, added up as one product
-                weight = 1.0 / np.maximum((a[go, t] * z).sum(-1, keepdims=True), 1e-300)
+                weight = 1.0 / np.maximum((a[go, t] * z).sum(-1, keepdims=True), 1e-30)
                 moves += trans * ((a[go, t] * weight).T @ u)
         p = a * b
-        p /= np.maximum(p.sum(-1, keepdims=True), 1e-300)
+        p /= np.maximum(p.sum(-1, keepdims=True), 1e-30)
         g = (p - self.hot) * self.mask[..., None]
         return g[self.mask], moves - self.gold, g[:, 0].sum(0)
 
@@ -184,12 +183,14 @@ def train(rounds: int = 80, l2: float = 1e-4) -> Model:
     """Conditional log-likelihood by Adam over the whole labelled table. Nothing of the data to be tagged enters."""
     data = sorted((_labelled(r) for r in labelled_table()), key=lambda d: len(d[0]))
     data = [d for d in data if d[0]]
+    often = Counter(token_type(t).lower() for toks, _ in data for t in toks)
+    known = frozenset(w for w, k in often.items() if k >= KNOWN)
     types = Types()
     seqs = [[types[token_type(t)] for t in toks] for toks, _ in data]
     size = -(-len(data) // 8)
     buckets = [_Bucket(seqs[k : k + size], [labs for _, labs in data[k : k + size]]) for k in range(0, len(data), size)]
     n = len(data)
-    cols = _matrix(types.names)
+    cols = _matrix(types.names, known)
     V = len(types.names)
     by_feature = _Adder(cols.ravel())
     used = np.unique(cols)
@@ -221,7 +222,7 @@ def train(rounds: int = 80, l2: float = 1e-4) -> Model:
             if j not in (1 + 2 * k, 2 + 2 * k):
                 A[j, 2 + 2 * k] = -1e4
         S[2 + 2 * k] = -1e4
-    return Model(W.astype(np.float32), A.astype(np.float32), S.astype(np.float32))
+    return Model(W.astype(np.float32), A.astype(np.float32), S.astype(np.float32), known)
 
 
 class Tagger:
@@ -241,51 +242,100 @@ class Tagger:
     def _grow(self) -> None:
         have = self.tables.shape[1]
         if have < len(self.types.names):
-            cols = _matrix(self.types.names[have:])
+            cols = _matrix(self.types.names[have:], self.m.known)
             new = np.stack([self.m.weights[k][cols].sum(1) for k in range(len(OFFSETS))])
             self.tables = np.concatenate([self.tables, new], axis=1)
 
-    def tag(self, segments: list[list[str]]) -> list[np.ndarray]:
-        """Label numbers for each segment's tokens (at most MAX_TOKENS each; longer ones are cut into windows before)."""
+    def _types(self, segments: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Types of all tokens, one segment after another with PAD places outside around each, and where the segments begin."""
         if len(self.types.names) > self.MAX_TYPES:
             self._reset()
-        # shapes that repeat (numbers are zeroes) are decoded once
-        keys = [tuple(map(self.norm.__getitem__, s)) for s in segments]
-        uniq = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-        todo = list(uniq)
-        seqs = [list(map(self.types.__getitem__, k)) for k in todo]
+        flat: list[int] = [0] * PAD
+        starts = []
+        get, norm, outside = self.types.__getitem__, self.norm.__getitem__, [0] * PAD
+        for s in segments:
+            starts.append(len(flat))
+            flat += map(get, map(norm, s))
+            flat += outside
         self._grow()
-        out: list = [None] * len(todo)
-        order = sorted(range(len(todo)), key=lambda i: len(seqs[i]))
-        for s in range(0, len(order), 512):
-            part = order[s : s + 512]
-            x = _pad([seqs[i] for i in part], 0)
-            e = _emissions(self.tables, x)
-            n, T = x.shape
-            back = np.zeros((n, T, L), dtype=np.int8)
-            v = e[:, 0] + self.m.start
-            ends = np.array([len(seqs[i]) - 1 for i in part])
-            final = v.copy()
-            for t in range(1, T):
-                z = v[:, :, None] + self.m.trans[None]
-                back[:, t] = z.argmax(1)
-                v = z.max(1) + e[:, t]
-                now = ends == t
-                final[now] = v[now]
-            lab = np.zeros((n, T), dtype=np.int8)
-            cur = final.argmax(1)
-            for t in range(T - 1, -1, -1):
-                inside = ends >= t
-                lab[inside, t] = cur[inside]
-                cur = np.where(inside, back[np.arange(n), t, cur], cur)
-            for j, i in enumerate(part):
-                out[i] = lab[j, : ends[j] + 1]
-        return [out[uniq[k]] for k in keys]
+        return np.array(flat, dtype=np.int64), np.array(starts, dtype=np.int64)
+
+    def doubtful(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of the segments whose best path may have a label. For the others the best path is proven to have none: at no
+        token does any label, with the best transition into it, outweigh no label by more than leaving a span may give."""
+        m = self.m
+        into = (m.trans.max(0) - m.trans[0, 0]).astype(np.float32)
+        into = np.maximum(into, m.start - m.start[0])
+        leave = max(0.0, float((m.trans[1:, 0] - m.trans[0, 0]).max()))
+        if not len(starts):
+            return np.zeros(0, dtype=np.int64)
+        hot = np.zeros(len(flat), dtype=bool)
+        step = 1 << 16
+        for a in range(PAD, len(flat) - PAD, step):
+            b = min(a + step, len(flat) - PAD)
+            e = sum(self.tables[k][flat[a + o : b + o]] for k, o in enumerate(OFFSETS))
+            hot[a:b] = (e[:, 1:] - e[:, :1] + into[1:]).max(1) > -leave - 1e-3
+        hot &= flat != 0
+        found = np.add.reduceat(hot, starts)  # what stands between two segments is outside, so never hot
+        return np.flatnonzero((found > 0) & (lengths > 0))
+
+    def tag(self, segments: list[list[str]], every: bool = False) -> dict[int, np.ndarray]:
+        """Label numbers of the tokens of each segment that has a label. `every` decodes also those proven to have none."""
+        lengths = np.array([len(s) for s in segments], dtype=np.int64)
+        flat, starts = self._types(segments)
+        asked = np.flatnonzero(lengths) if every else self.doubtful(flat, starts, lengths)
+        # shapes that repeat (numbers are zeroes) are decoded once
+        uniq: dict[bytes, list[int]] = {}
+        for k in asked:
+            uniq.setdefault(flat[starts[k] : starts[k] + lengths[k]].tobytes(), []).append(int(k))
+        groups = sorted(uniq.values(), key=lambda g: lengths[g[0]])
+        out: dict[int, np.ndarray] = {}
+        s = 0
+        while s < len(groups):
+            e = s + 1
+            while e < len(groups) and (e - s + 1) * lengths[groups[e][0]] <= PLACES:
+                e += 1
+            part = groups[s:e]
+            s = e
+            for g, lab in zip(part, self._viterbi([flat[starts[g[0]] : starts[g[0]] + lengths[g[0]]] for g in part])):
+                if lab.any():
+                    for k in g:
+                        out[k] = lab
+        return out
+
+    def _viterbi(self, seqs: list[np.ndarray]) -> list[np.ndarray]:
+        ends = np.array([len(q) - 1 for q in seqs])
+        n, T = len(seqs), int(ends.max()) + 1
+        x = np.zeros((n, T), dtype=np.int64)
+        for k, q in enumerate(seqs):
+            x[k, : len(q)] = q
+        e = _emissions(self.tables, x)
+        back = np.zeros((n, T, L), dtype=np.int8)
+        v = e[:, 0] + self.m.start
+        final = v.copy()
+        for t in range(1, T):
+            z = v[:, :, None] + self.m.trans[None]
+            back[:, t] = z.argmax(1)
+            v = z.max(1) + e[:, t]
+            now = ends == t
+            final[now] = v[now]
+        lab = np.zeros((n, T), dtype=np.int8)
+        cur = final.argmax(1)
+        rows = np.arange(n)
+        for t in range(T - 1, -1, -1):
+            inside = ends >= t
+            lab[inside, t] = cur[inside]
+            cur = np.where(inside, back[rows, t, cur], cur)
+        return [lab[k, : end + 1] for k, end in enumerate(ends)]
 
 
 _HOST = re.compile(r"(?:\.|%2E|\[dot\]|\(dot\)|\bdot\b)", re.I)
 
 
+#: Small words inside names.
+PARTICLES = frozenset("von van der den de da di du del della dos la le ter zu y".split())
+
+
 def _valid(kind: str, s: str) -> bool:
     digits = sum(c.isdigit() for c in s)
     if kind == "email":
@@ -295,33 +345,34 @@ def _valid(kind: str, s: str) -> bool:
     if kind == "id_number":
         return digits >= 6
     if kind == "street_address":
-        return digits >= 1 and bool(re.search(r"[^\W\d_]{3}", s))
-    # a name has two words, or an initial or title and a word
-    return len(re.findall(r"[^\W\d_]+", s)) >= 2 and len(re.findall(r"[A-ZÀ-Þ]", s)) >= 2 and digits == 0 or "%20" in s
+        return digits >= 1 and bool(re.search(r"[^\W\d_]{3}", s)) and s.lower() != s
+    # a name has two words, or an initial or title and a word; they are all written alike, small or with capitals, but for particles
+    words = [w for w in re.findall(r"[^\W\d_]+", s.replace("%20", " ")) if w not in PARTICLES]
+    return len(words) >= 2 and digits == 2 * s.count("%20") and len({w[0].isupper() for w in words}) == 1
 
 
-def spans(texts: list[str | None], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
-    """(start, end, kind) per text."""
+def spans(texts: list[str | None], tagger: Tagger, every: bool = False) -> list[list[tuple[int, int, str]]]:
+    """(start, end, kind) per text. Every segment of every text is read."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    segs, where = [], []
+    segs: list[list[str]] = []
+    where: list[tuple[int, int, int]] = []
+    tokens, cuts = TOKEN.findall, SPLIT.finditer
     for k, t in enumerate(texts):
-        if not t or not CUE.search(t):
+        if not t:
             continue
         pos = 0
-        for m in [*SPLIT.finditer(t), None]:
-            end = m.start() if m else len(t)
-            if end > pos and CUE.search(t, pos, end):
-                toks = list(TOKEN.finditer(t, pos, end))
-                for w in range(0, len(toks), MAX_TOKENS - 64):
-                    part = toks[w : w + MAX_TOKENS]
-                    segs.append([x.group() for x in part])
-                    where.append((k, part))
-                    if w + MAX_TOKENS >= len(toks):
-                        break
-            pos = m.end() if m else end
-    for (k, toks), labs in zip(where, tagger.tag(segs)):
-        if not labs.any():
-            continue
+        for m in cuts(t):
+            end = m.start()
+            if end > pos:
+                segs.append(tokens(t, pos, end))
+                where.append((k, pos, end))
+            pos = m.end()
+        if pos < len(t):
+            segs.append(tokens(t, pos))
+            where.append((k, pos, len(t)))
+    for number, labs in tagger.tag(segs, every).items():
+        k, start, end = where[number]
+        toks = list(TOKEN.finditer(texts[k], start, end))
         i = 0
         while i < len(labs):
             if labs[i]:
@@ -335,8 +386,7 @@ def spans(texts: list[str | None], tagger: Tagger) -> list[list[tuple[int, int,
                 i = j
             else:
                 i += 1
-        out[k] = sorted(set(out[k]))
-    return out
+    return [sorted(s) for s in out]
 
 
 def mask(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
@@ -352,7 +402,7 @@ def mask(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
 
 def tag_table(df: DataFrame, id_col: str, text_cols: dict[str, str], masked: bool = True) -> DataFrame:
     """field, row_id, kinds, masked_text: one row per row and field; text_cols: field name -> column."""
-    model = df.sparkSession.sparkContext.broadcast(train())  # fixed size: 5 * BUCKETS * 11 weights
+    model = df.sparkSession.sparkContext.broadcast(train())  # fixed size: len(OFFSETS) * BUCKETS * L weights
     long = df.select(F.col(id_col).cast("long").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in text_cols.items()])).alias("x")).select("row_id", "x.field", "x.text")
 
     def run(batches):
