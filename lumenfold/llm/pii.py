@@ -29,12 +29,16 @@ from lumenfold.llm.pii_labels import KINDS, labelled_table
 from lumenfold.session import spread
 
 TOKEN = re.compile(r"%[0-9A-Fa-f]{2}|[^\W\d_]+|\d+|\n|[^\w\s]|_")
-SPLIT = re.compile(r"\n+|(?<=[^\W\d_A-Z]{3}[.!?])(?<!Prof\.)(?<!prof\.)[ \t]+")
+SPLIT = re.compile(r"\n+|[.!?][ \t]+")
+#: What a sentence's last word ends in; a title's short form doesn't end a sentence.
+SENTENCE = re.compile(r"[^\W\d_A-Z]{3}\Z")
 AT = re.compile(r"@|%40|\(at\)|\[at\]|\{at\}|\bat\b[^\n]*\bdot\b", re.I)
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 L = len(LABELS)
 BUCKETS = 1 << 15
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2)
+#: Tokens scored at once.
+CHUNK = 1 << 16
 #: A form must stand so often in the training table to have a feature of its own.
 KNOWN = 5
 PAD = max(map(abs, OFFSETS))
@@ -250,34 +254,51 @@ class Tagger:
         """Types of all tokens, one segment after another with PAD places outside around each, and where the segments begin."""
         if len(self.types.names) > self.MAX_TYPES:
             self._reset()
-        flat: list[int] = [0] * PAD
+        flat: list[int] = [0] * (2 * PAD)
         starts = []
         get, norm, outside = self.types.__getitem__, self.norm.__getitem__, [0] * PAD
         for s in segments:
             starts.append(len(flat))
             flat += map(get, map(norm, s))
             flat += outside
+        flat += outside
         self._grow()
         return np.array(flat, dtype=np.int64), np.array(starts, dtype=np.int64)
 
     def doubtful(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Numbers of the segments whose best path may have a label. For the others the best path is proven to have none: at no
-        token does any label, with the best transition into it, outweigh no label by more than leaving a span may give."""
-        m = self.m
-        into = (m.trans.max(0) - m.trans[0, 0]).astype(np.float32)
-        into = np.maximum(into, m.start - m.start[0])
-        leave = max(0.0, float((m.trans[1:, 0] - m.trans[0, 0]).max()))
+        """Numbers of the segments whose best path may have a label. For the others the best path is proven to have none.
+
+        A stretch of labels is a B and the I's of its kind after it. What it can gain over no label is at most the sum of its
+        tokens' gains with the best transitions into them, and what leaving it gives. The greatest sum over all stretches that
+        begin at a token comes from running sums and their maxima from behind."""
         if not len(starts):
             return np.zeros(0, dtype=np.int64)
-        hot = np.zeros(len(flat), dtype=bool)
-        step = 1 << 16
-        for a in range(PAD, len(flat) - PAD, step):
-            b = min(a + step, len(flat) - PAD)
-            e = sum(self.tables[k][flat[a + o : b + o]] for k, o in enumerate(OFFSETS))
-            hot[a:b] = (e[:, 1:] - e[:, :1] + into[1:]).max(1) > -leave - 1e-3
-        hot &= flat != 0
-        found = np.add.reduceat(hot, starts)  # what stands between two segments is outside, so never hot
-        return np.flatnonzero((found > 0) & (lengths > 0))
+        m, zero = self.m, self.m.trans[0, 0]
+        into = np.maximum(m.trans.max(0) - zero, m.start - m.start[0]).astype(np.float32)
+        leave = [max(0.0, float(max(m.trans[1 + 2 * k, 0], m.trans[2 + 2 * k, 0]) - zero)) + 1e-3 for k in range(len(KINDS))]
+        ends = starts + lengths
+        out = []
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK)))
+            a, b = int(starts[i]), int(ends[j - 1]) + PAD
+            near = flat[a - PAD : b + PAD]
+            e = self.tables[0][near[PAD + OFFSETS[0] :][: b - a]]
+            for k, o in enumerate(OFFSETS[1:], 1):
+                e += self.tables[k][near[PAD + o :][: b - a]]
+            inside = flat[a:b] != 0
+            hot = np.zeros(b - a, dtype=bool)
+            for k in range(len(KINDS)):
+                first = e[:, 1 + 2 * k] - e[:, 0] + into[1 + 2 * k]
+                more = np.where(inside, e[:, 2 + 2 * k] - e[:, 0] + into[2 + 2 * k], -1e4).astype(np.float64)
+                sums = np.cumsum(more)
+                best = np.maximum.accumulate(sums[::-1])[::-1] - sums  # the tokens after this one, as many as are best, or none
+                hot |= first + best > -leave[k]
+            hot &= inside
+            out.append(i + np.flatnonzero(np.add.reduceat(hot, starts[i:j] - a)))
+            i = j
+        found = np.concatenate(out)
+        return found[lengths[found] > 0]
 
     def tag(self, segments: list[list[str]], every: bool = False) -> dict[int, np.ndarray]:
         """Label numbers of the tokens of each segment that has a label. `every` decodes also those proven to have none."""
@@ -356,13 +377,17 @@ def spans(texts: list[str | None], tagger: Tagger, every: bool = False) -> list[
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     segs: list[list[str]] = []
     where: list[tuple[int, int, int]] = []
-    tokens, cuts = TOKEN.findall, SPLIT.finditer
+    tokens, cuts, sentence = TOKEN.findall, SPLIT.finditer, SENTENCE.match
     for k, t in enumerate(texts):
         if not t:
             continue
         pos = 0
         for m in cuts(t):
             end = m.start()
+            if t[end] != "\n":
+                if end - pos < 3 or not sentence(t[end - 3 : end]) or t[end - 4 : end + 1] in ("Prof.", "prof."):
+                    continue
+                end += 1
             if end > pos:
                 segs.append(tokens(t, pos, end))
                 where.append((k, pos, end))
