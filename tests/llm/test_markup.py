@@ -8,12 +8,12 @@ PLAIN = ["A load with x < 3 and y > 4 is fine.", "Paid $35 for a and $4 for b.",
 
 @pytest.mark.parametrize("t", MARKED)
 def test_constructs_are_met(t):
-    assert sum(m.count_constructs(t).values()) > 0
+    assert sum(m.clean(t)[1].values()) > 0
 
 
 @pytest.mark.parametrize("t", PLAIN)
 def test_plain_text_is_left_alone(t):
-    assert sum(m.count_constructs(t).values()) == 0 and m.clean(t)[0] == t
+    assert m.clean(t) == (t, {"html": 0, "markdown": 0, "wiki": 0, "latex": 0})
 
 
 def test_html_structure():
@@ -48,3 +48,31 @@ def test_table(spark):
     got = {r.id: (r.clean_text, r.constructs) for r in m.clean_table(df, "id", "text", F.col("symbol").isNotNull()).collect()}
     assert got[1] == ("x", 2) and got[2] == ("plain", 0) and got[3] == (None, 0) and got[4] == ("", 0) and got[5] == ("# c", 0)
     assert m.clean_table(df.limit(0), "id", "text").count() == 0
+
+
+def test_nothing_is_lost_to_damage():
+    rest = "\n\nSecond paragraph, with text.\n\nThird paragraph."
+    assert m.clean("Use the `<script>` tag in a page." + rest)[0] == "Use the `<script>` tag in a page." + rest
+    assert "Third paragraph." in m.clean("Cut <svg> icon then go on." + rest)[0] and "icon then go on" in m.clean("Cut <svg> icon then go on." + rest)[0]
+    for name in ("script", "style", "template", "iframe"):
+        assert "Third paragraph." in m.clean(f"<p>a</p><{name}>" + rest)[0]
+    assert "hidden" not in m.clean("<p>a</p><script>hidden()</script><p>b</p>")[0]
+    assert m.clean("before <!-- open" + rest)[0] == "before  open" + rest
+    fence = 'Text **b**\n\n```html\n<div class="a"><b>bold</b></div>\n```\n\nmore'
+    assert m.clean(fence)[0] == 'Text b\n\n```\n<div class="a"><b>bold</b></div>\n```\n\nmore'
+
+
+def test_nesting_to_any_depth():
+    assert m.clean(r"\textbf{\textit{\emph{\underline{\textsf{\texttt{deep er}}}}}} end")[0] == "deep er end"
+    assert m.clean("{{a|{{b|{{c|{{d|inner}}}}}}}} end")[0] == "inner end"
+    assert m.clean("\\textbf{" * 3000 + "x" + "}" * 3000)[0] == "x"
+    assert m.clean("{{t|" * 3000 + "x" + "}}" * 3000)[0] == "x"
+    assert m.clean(r"\textbf{open to the end")[0] == "open to the end"
+    assert m.clean("text \x00 and **b**")[0] == "text \x00 and b"
+
+
+def test_comments_of_source_are_read():
+    source = "// see <b>this</b> &amp; [that](https://x.example)\nint a = b<c>::d(**e); // a*b"
+    got, n = m.clean(source, source=True)
+    assert got == "// see this & that\nint a = b<c>::d(**e); // a*b" and sum(n.values()) == 4
+    assert m.clean("# a list\n# - x\ndef f(**kw): return kw['a'][0]  # TODO", source=True)[1] == {"html": 0, "markdown": 0, "wiki": 0, "latex": 0}
