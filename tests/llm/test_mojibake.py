@@ -42,16 +42,54 @@ def test_empty(spark):
 def test_garbling_drops_no_character():
     for s in SENTENCES[:6]:
         g = mj.garble(s)
-        assert g and g != s and any(mj.apply(g, c) == s for c in mj.CHAINS)
+        assert g and g[1] != s and mj.apply(g[1], mj.CHAINS[g[0]]) == s
     assert mj.garble(SENTENCES[6]) is None
 
 
 def test_margin_counts_every_passage(spark):
     texts = spark.createDataFrame([(" ".join(SENTENCES[(k + j) % 6] for j in range(102)),) for k in range(60)], "text string")
-    first = mj.train(texts)
-    counts = mj.gain_counts(texts, spark.sparkContext.broadcast((first, first)))
-    assert counts["clean"].sum() == 60 * 102 and counts["bad"].sum() == 60 * 102
-    assert mj._quantile(counts["clean"], 1.0) < 0 < mj._quantile(counts["bad"], mj.MISSED)
+    surveyed = mj.survey(texts)
+    model, first = mj.trained(surveyed)
+    counts = mj.gain_counts(surveyed.where("k = 'p'").select("passages"), spark.sparkContext.broadcast((model, first)))
+    # texts of the same sentences in the same order are one text
+    assert counts["clean"].sum() == counts["bad"].sum() == 6 * 102
+    margin = mj.validated_margin(counts)
+    assert 0 < margin < 60
+
+
+def test_margin_is_where_the_fewest_are_wrong():
+    clean, bad = (mj.np.zeros(2 * mj.SPAN * mj.FINE, int) for _ in range(2))
+    at = lambda g: int((g + mj.SPAN) * mj.FINE)
+    clean[at(-20)], clean[at(3)] = 10_000, 20
+    bad[at(2)], bad[at(40)] = 30, 9_000
+    assert 3 < mj.validated_margin({"clean": clean, "bad": bad}) < 40
+    assert mj.validated_margin({"clean": 0 * clean, "bad": bad}) == mj.DOUBT
+
+
+def test_scores_in_batches_are_the_plain_ones():
+    """Against a plain sum of logarithms, text by text; no text is cut."""
+    import math
+
+    c = mj.Counter3()
+    c.add(SENTENCES * 3)
+    m = mj.CharModel(*(t.astype("float32") for t in c.tables.values()))
+
+    def plain(text):
+        codes = mj.np.array([ord(x) for x in "  " + text])
+        t, b, u = mj._slots(codes)
+        total = 0.0
+        for k in range(len(text)):
+            p1 = (m.uni[u[k + 2]] + 0.05) / (m.total + 0.05 * mj.UNI)
+            p2 = (m.bi[b[k + 1]] + 2 * p1) / (m.uni[u[k + 1]] + 2)
+            total += math.log((m.tri[t[k]] + 2 * p2) / (m.bi[b[k]] + 2))
+        return total
+
+    texts = [*SENTENCES, "", "é", "ü" * 5000]
+    assert all(abs(a - plain(t)) < 1e-4 * max(1, abs(a)) for a, t in zip(m.scores(texts), texts))
+    judge = mj.Judge(m)
+    long = "Küche" * 400
+    seen = long.encode("utf-8").decode("cp1252")
+    assert judge.restore([seen])[0] == (long, True)
 
 
 def test_copies_of_a_garbled_text_do_not_speak_for_it(spark):
