@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -83,18 +84,48 @@ class Types(dict):
         return k
 
 
-def _labelled(row: str) -> tuple[list[str], list[int]]:
-    toks, labs = [], []
+def segments(text: str) -> Iterator[tuple[int, int]]:
+    """Lines, split at sentence ends."""
+    pos = 0
+    for m in SPLIT.finditer(text):
+        end = m.start()
+        if text[end] != "\n":
+            if end - pos < 3 or not SENTENCE.match(text[end - 3 : end]) or text[end - 4 : end + 1] in ("Prof.", "prof."):
+                continue
+            end += 1
+        if end > pos:
+            yield pos, end
+        pos = m.end()
+    if pos < len(text):
+        yield pos, len(text)
+
+
+def plain_and_spans(row: str) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text of a labelled row, and its spans."""
+    text, spans = "", []
     for part in re.split(r"(\[\[\w+\|.*?\]\](?!\]))", row):
         m = re.fullmatch(r"\[\[(\w+)\|(.*)\]\]", part)
-        found = TOKEN.findall(m.group(2) if m else part)
-        toks += found
         if m:
-            k = 1 + 2 * KINDS.index(m.group(1))
-            labs += [k] + [k + 1] * (len(found) - 1)
-        else:
-            labs += [0] * len(found)
-    return toks, labs
+            spans.append((len(text), len(text) + len(m.group(2)), m.group(1)))
+        text += m.group(2) if m else part
+    return text, spans
+
+
+def _labelled(row: str) -> list[tuple[list[str], list[int]]]:
+    """Tokens and labels of each segment of a labelled row, cut as texts to be tagged are."""
+    text, spans = plain_and_spans(row)
+    out = []
+    for a, b in segments(text):
+        toks = list(TOKEN.finditer(text, a, b))
+        labs = [0] * len(toks)
+        for x, y, kind in spans:
+            inside = [k for k, t in enumerate(toks) if x <= t.start() and t.end() <= y]
+            for k in inside:
+                labs[k] = 2 + 2 * KINDS.index(kind)
+            if inside:
+                labs[inside[0]] -= 1
+        out.append(([t.group() for t in toks], labs))
+    return out
 
 
 class Model:
@@ -185,7 +216,7 @@ class _Bucket:
 @lru_cache(maxsize=1)
 def train(rounds: int = 80, l2: float = 1e-4) -> Model:
     """Conditional log-likelihood by Adam over the whole labelled table. Nothing of the data to be tagged enters."""
-    data = sorted((_labelled(r) for r in labelled_table()), key=lambda d: len(d[0]))
+    data = sorted((d for r in labelled_table() for d in _labelled(r)), key=lambda d: len(d[0]))
     data = [d for d in data if d[0]]
     often = Counter(token_type(t).lower() for toks, _ in data for t in toks)
     known = frozenset(w for w, k in often.items() if k >= KNOWN)
@@ -377,24 +408,11 @@ def spans(texts: list[str | None], tagger: Tagger, every: bool = False) -> list[
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     segs: list[list[str]] = []
     where: list[tuple[int, int, int]] = []
-    tokens, cuts, sentence = TOKEN.findall, SPLIT.finditer, SENTENCE.match
     for k, t in enumerate(texts):
-        if not t:
-            continue
-        pos = 0
-        for m in cuts(t):
-            end = m.start()
-            if t[end] != "\n":
-                if end - pos < 3 or not sentence(t[end - 3 : end]) or t[end - 4 : end + 1] in ("Prof.", "prof."):
-                    continue
-                end += 1
-            if end > pos:
-                segs.append(tokens(t, pos, end))
-                where.append((k, pos, end))
-            pos = m.end()
-        if pos < len(t):
-            segs.append(tokens(t, pos))
-            where.append((k, pos, len(t)))
+        if t:
+            for a, b in segments(t):
+                segs.append(TOKEN.findall(t, a, b))
+                where.append((k, a, b))
     for number, labs in tagger.tag(segs, every).items():
         k, start, end = where[number]
         toks = list(TOKEN.finditer(texts[k], start, end))

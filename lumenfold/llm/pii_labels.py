@@ -51,6 +51,7 @@ TAILS = {
     "person_name": ["", "", "", ".", ",", " said so.", " agreed to come.", " will pay.", " has the key.", " called yesterday.", " took the {n}.", " received the {n}.", " opened the {n} for us.", " signed the {n}.", " never {v} the {n}.", " {v} it.", "'s desk", " and the team", " (owner)", ")", ") once the {n} was {v}.", ", manager", " kommt morgen.", " hat unterschrieben.", " a signé.", " firmó.", " {v} the {n}.", " that the {n} was {v}.", " to bring the {n}.", " for the {n}.", " The {n} was {v}.", " Nobody {v} the {adj} {n}.", ": the {n} is {adj}", "; room {d2}", "\n{W} {firm}", "\n{W} {firm}, hall {d1}", " {W} {firm}, hall {d1}"],
 }
 MIXED = [
+    *["{plainname}"] * 20, *["{name}"] * 6, *["{doc} no. {id} {v} the {n}", "{doc} no. {id} was {v} on the {n}", "{Doc} no. {id} is {adj}"] * 2, "{W} {n}\n{plainname}\n{W} {firm}, gate {d1}", "{N}\n{name}\n{d5} {place}",
     "{name}, {address}, {email}, {phone}", "{name}\n{address}\n{phone}\n{email}", "BEGIN:VCARD\nVERSION:3.0\nN:{cardname};;;\nFN:{plainname}\nTEL;TYPE=HOME:{phone}\nEMAIL:{email}\nEND:VCARD", "MECARD:N:{commaname};TEL:{phone};EMAIL:{email};;", "MECARD:N:{commaname};;", "N:{cardname};;;", "N:{commaname};;",
     "call {name} at {phone} or write to {email}", "{name} ({email}) {v} the {n}", "{name}, {doc}: {id}", "{doc}: {id}, phone {phone}", "{address}, phone: {phone}", "write to {email} or {email}", "{name} and {name} met {name}.", "upi://pay?pa={handle}@ok{w}&pn={linkname}&am={d3}", "upi://pay?pa={handle}@ok{w}&pn={linkname}&am={d2}", "upi://pay?pa={handle}@ok{w}&pn={linkname}&cu=INR", "upi://pay?pa={masked}@ok{w}&pn={linkname}&am={d3}", "upi://pay?pa={masked}@ok{w}&pn={linkname}", "upi://pay?pn={linkname}&pa={handle}@{w}", "pn={linkname}&am={d3}", "pa={masked}@ok{w}&pn={linkname}&am={d2}", "payee={handle}@{w}&pn={linkname}&am={d3}",
     "Contact {name} <{email}>", "{name}: {phone}", "https://{w}.example/?user={d3}&mail={pemail}", "https://{w}.test/{n}?to={pemail}&{w}=1", "ADR:;;{cardaddress};;{d5};", "{shout}, {doc} {id}", "by {shout}. The {n} was {v}.", "as {revname} said, the {n} was {v}.", "with {revname} in the {n}", "{revname}\n{email}",
@@ -186,7 +187,7 @@ class _Fill:
 
 
 #: Rows of each lead.
-PER_LEAD = {"email": 11, "phone": 14, "id_number": 40, "street_address": 13, "person_name": 18}
+PER_LEAD = {"email": 11, "phone": 14, "id_number": 46, "street_address": 13, "person_name": 18}
 _SLOT = {"email": "{email}", "phone": "{phone}", "id_number": "{id}", "street_address": "{address}", "person_name": "{name}"}
 _BEFORE = ["", "", "", "", "", "// ", "# ", "-- ", "* ", "> ", "[{t}] info ", "20{d2}-0{d1}-1{d1}T{t}Z DEBUG {w}: ", "20{d2}-0{d1}-1{d1} {t} WARN ", "{N} "]
 

@@ -14,12 +14,7 @@ def measured(rows):
     hit = want = good = got = 0
     tagger = pii.Tagger(pii.train())
     for r in rows:
-        text, spans = "", set()
-        for part in re.split(r"(\[\[\w+\|.*?\]\](?!\]))", r):
-            m = re.fullmatch(r"\[\[(\w+)\|(.*)\]\]", part)
-            if m:
-                spans.add((len(text), len(text) + len(m.group(2)), m.group(1)))
-            text += m.group(2) if m else part
+        text, spans = pii.plain_and_spans(r)
         found = set(pii.spans([text], tagger)[0])
         meets = lambda x, others: any(x[2] == y[2] and x[0] < y[1] and y[0] < x[1] for y in others)
         hit, want = hit + sum(meets(x, found) for x in spans), want + len(spans)
@@ -55,7 +50,7 @@ def test_untraced_segments_have_no_label():
 
 
 def test_spans_and_placeholders():
-    t = "Ask Helen Orrolm to call +999-544-257-170.\nWrite to ludo.rovell@kitchenpost.example, please."
+    t = "Please ask Helen Orrolm to call +999-544-257-170.\nWrite to ludo.rovell@kitchenpost.example, please."
     found = pii.spans([t], pii.Tagger(pii.train()))[0]
     masked = pii.mask(t, found)
     assert "[PERSON_NAME]" in masked and "[PHONE]" in masked and "[EMAIL]" in masked and "Orrolm" not in masked and "ludo" not in masked and masked.endswith("please.")
