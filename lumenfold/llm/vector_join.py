@@ -1,20 +1,26 @@
 """Most similar vectors for every vector: a block matrix join over int8 tiles.
 
-Vectors of one group (same model, same length) are dealt to blocks of ROWS by a hash of their class; a tile is a pair of
-blocks. In a tile, the rows' int8 images are multiplied; the norm of each row's quantisation error bounds how far a
-product may lie from the true cosine. Pairs that can't reach the floor, or can't be among the k best of either row, by
-these bounds are dropped; the others are computed again in double precision. Per row the k best of a tile go on, and the
-tiles' lists are merged by a top-k window that keeps k rows per key before it shuffles.
+Vectors of one group (same model, same length) are dealt to blocks by a hash of their class; a tile is a pair of blocks and a
+task of its own. A block's rows are quantised to int8 with one scale; a tile multiplies the int8 images (as whole numbers, which
+the floating-point multiplier adds up exactly), and the norm of the rows' quantisation errors bounds how far a product may lie
+from the true cosine. Pairs that can't reach the floor, or can't be among the k best of either row, by these bounds are
+dropped; the others are computed again in double precision. Each row keeps its k best in a bounded heap, which a pair enters
+only by beating its least; the tiles' heaps are merged by a top-k window that keeps k rows per key before it shuffles.
+
+Blocks are as large as lets the tiles occupy the cluster, between LEAST_ROWS and what CELLS allows, so a block is copied to
+few tiles; the size changes no result.
 
 Identical vectors form a class that enters the product once, with its k + 1 least ids; so a crowd of copies costs one
 row. Ties go to the smaller id. Results are exact: bounds decide nothing but what is computed again.
 
 Defined results: a vector is usable if not null, as long as its stated length, all finite and not all zero; others and
-rows with null id or group are left out; redeliveries of an id count once; an empty table gives an empty result.
+rows with null id or group are left out; of several rows of an id that with the least group, length and vector counts; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -22,7 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS = 8192
+from lumenfold.session import apart, cut
+
+#: Rows of a block, at least, and its numbers, at most.
+LEAST_ROWS = 2048
+CELLS = 1 << 22
 SUB = 1024
 #: Pairs computed in double precision at once.
 STEP = 100_000
@@ -35,8 +45,10 @@ def usable(df: DataFrame, id_col: str, group_col: str, dims_col: str, vector_col
     return (
         df.where(F.col(id_col).isNotNull() & F.col(group_col).isNotNull() & v.isNotNull() & (F.size(v) == F.col(dims_col)))
         .where(finite & F.exists(v, lambda x: x != zero))
-        .select(F.col(id_col).cast("long").alias("id"), F.col(group_col).alias("grp"), F.size(v).alias("dims"), v.cast("array<float>").alias("vec"))
-        .dropDuplicates(["id", "grp", "dims"])
+        .select(F.col(id_col).cast("long").alias("id"), F.struct(F.col(group_col).alias("grp"), F.size(v).alias("dims"), v.cast("array<float>").alias("vec")).alias("x"))
+        .groupBy("id")
+        .agg(F.min("x").alias("x"))
+        .select("id", "x.*")
     )
 
 
@@ -55,15 +67,14 @@ def _unpack(rows: int, dims: int, payload: bytes) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(b, dtype=np.int64, count=rows), np.ascontiguousarray(planes.T).view(np.float32).reshape(rows, dims)
 
 
-def quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Unit rows in double precision; their int8 images, scaled; the greatest norm of a row's quantisation error."""
+def quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Unit rows in double precision; their int8 images; the scale of the images; the greatest norm of a row's quantisation error."""
     x = m.astype(np.float64)
     x /= np.abs(x).max(axis=1)[:, None]  # no overflow in the norm
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    scale = np.abs(x).max(axis=1)[:, None] / 127.0
+    scale = float(np.abs(x).max()) / 127.0
     image = np.rint(x / scale).astype(np.int8)
-    approx = image.astype(np.float32) * scale.astype(np.float32)
-    return x, approx, float(np.sqrt(((x - approx) ** 2).sum(axis=1)).max())
+    return x, image, scale, float(np.sqrt(((x - image * scale) ** 2).sum(axis=1)).max())
 
 
 def _best(x: np.ndarray, y: np.ndarray, c: np.ndarray, names: np.ndarray, k: int):
@@ -76,67 +87,84 @@ def _best(x: np.ndarray, y: np.ndarray, c: np.ndarray, names: np.ndarray, k: int
     return x[keep], y[keep], c[keep]
 
 
-class _Side:
-    """The k best found so far for the rows of one block."""
+class _Heaps:
+    """The k best found so far of each row of a block. `least`: what a further pair must reach, once a row holds k."""
 
-    def __init__(self, k: int):
+    def __init__(self, rows: int, k: int):
         self.k, self.x, self.y, self.c = k, np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        self.least = np.full(rows, -np.inf)
 
     def add(self, x, y, c, names) -> None:
-        self.x, self.y, self.c = _best(np.concatenate([self.x, x]), np.concatenate([self.y, y]), np.concatenate([self.c, c]), names, self.k)
+        ok = c >= self.least[x]  # an equal one may have the smaller name
+        if not ok.any():
+            return
+        self.x, self.y, self.c = _best(np.concatenate([self.x, x[ok]]), np.concatenate([self.y, y[ok]]), np.concatenate([self.c, c[ok]]), names, self.k)
+        last = np.flatnonzero(np.concatenate([self.x[1:] != self.x[:-1], [True]]))
+        held = np.diff(np.concatenate([[-1], last]))
+        full = last[held == self.k]
+        self.least[self.x[full]] = self.c[full]
+
+
+def _tile(names_a, m_a, names_b, m_b, k: int, floor: float) -> pd.DataFrame:
+    """x, y, c: each row's k best of the other block (or of its own, if m_b is None)."""
+    same = m_b is None
+    xa, qa, sa, ea = quantised(m_a)
+    xb, qb, sb, eb = (xa, qa, sa, ea) if same else quantised(m_b)
+    if same:
+        names_b = names_a
+    # products of whole numbers: their sums stay below 2**24 up to 1,040 dimensions, beyond that rounding is allowed for
+    slack = ea * (1 + eb) + eb + 1e-5 + 1e-7 * max(0, xa.shape[1] - 1040)
+    unit = sa * sb
+    left, right = _Heaps(len(qa), k), _Heaps(len(qb), k)
+    fb = qb.astype(np.float32)
+    for i in range(0, len(qa), SUB):
+        fa = qa[i : i + SUB].astype(np.float32)
+        for j in range(i if same else 0, len(qb), 4 * SUB):
+            g = fa @ fb[j : j + 4 * SUB].T
+            hit = g >= (floor - slack) / unit
+            if floor <= -1 or np.count_nonzero(hit) > STEP:
+                # rows that k others beat for certain needn't be computed again
+                if g.shape[1] > k:
+                    row = np.partition(g, g.shape[1] - k - 1, axis=1)[:, g.shape[1] - k - 1] - 2 * slack / unit
+                else:
+                    row = np.full(g.shape[0], -np.inf)
+                if g.shape[0] > k:
+                    col = np.partition(g, g.shape[0] - k - 1, axis=0)[g.shape[0] - k - 1] - 2 * slack / unit
+                else:
+                    col = np.full(g.shape[1], -np.inf)
+                hit &= (g >= row[:, None]) | (g >= col[None, :])
+            x, y = np.nonzero(hit)
+            x, y = x + i, y + j
+            if same:
+                ok = x < y
+                x, y = x[ok], y[ok]
+            for s in range(0, len(x), STEP):
+                a, b = x[s : s + STEP], y[s : s + STEP]
+                c = np.minimum(1.0, np.einsum("ij,ij->i", xa[a], xb[b]))
+                ok = c >= floor
+                a, b, c = a[ok], b[ok], c[ok]
+                if same:
+                    left.add(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([c, c]), names_b)
+                else:
+                    left.add(a, b, c, names_b)
+                    right.add(b, a, c, names_a)
+    out = [pd.DataFrame({"x": names_a[left.x], "y": names_b[left.y], "c": left.c})]
+    if not same:
+        out.append(pd.DataFrame({"x": names_b[right.x], "y": names_a[right.y], "c": right.c}))
+    return pd.concat(out)
 
 
-def _tile(k: int, floor: float):
+def _tiles(k: int, floor: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        sides = [_unpack(r.rows, r.dims, r.payload) for r in pdf.itertuples()]
-        same = len(sides) == 1
-        (names_a, m_a), (names_b, m_b) = sides[0], sides[-1]
-        xa, qa, ea = quantised(m_a)
-        xb, qb, eb = (xa, qa, ea) if same else quantised(m_b)
-        slack = ea * (1 + eb) + eb + 1e-5
-        left, right = _Side(k), _Side(k)
-        for i in range(0, len(qa), SUB):
-            for j in range(i if same else 0, len(qb), 4 * SUB):
-                g = qa[i : i + SUB] @ qb[j : j + 4 * SUB].T
-                hit = g >= floor - slack
-                if floor <= -1 or np.count_nonzero(hit) > STEP:
-                    # rows that k others beat for certain needn't be computed again
-                    if g.shape[1] > k:
-                        row = np.partition(g, g.shape[1] - k - 1, axis=1)[:, g.shape[1] - k - 1] - 2 * slack
-                    else:
-                        row = np.full(g.shape[0], -2.0)
-                    if g.shape[0] > k:
-                        col = np.partition(g, g.shape[0] - k - 1, axis=0)[g.shape[0] - k - 1] - 2 * slack
-                    else:
-                        col = np.full(g.shape[1], -2.0)
-                    hit &= (g >= row[:, None]) | (g >= col[None, :])
-                x, y = np.nonzero(hit)
-                x, y = x + i, y + j
-                if same:
-                    ok = x < y
-                    x, y = x[ok], y[ok]
-                for s in range(0, len(x), STEP):
-                    a, b = x[s : s + STEP], y[s : s + STEP]
-                    c = np.minimum(1.0, np.einsum("ij,ij->i", xa[a], xb[b]))
-                    ok = c >= floor
-                    a, b, c = a[ok], b[ok], c[ok]
-                    if same:
-                        left.add(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([c, c]), names_b)
-                    else:
-                        left.add(a, b, c, names_b)
-                        right.add(b, a, c, names_a)
-        out = [pd.DataFrame({"x": names_a[left.x], "y": names_b[left.y], "c": left.c})]
-        if not same:
-            out.append(pd.DataFrame({"x": names_b[right.x], "y": names_a[right.y], "c": right.c}))
-        out = pd.concat(out)
+        sides = [_unpack(r.rows, r.dims, r.payload) for r in pdf.sort_values("block").itertuples()]
+        out = _tile(*sides[0], *(sides[1] if len(sides) > 1 else (None, None)), k, floor)
         out["grp"], out["dims"] = pdf["grp"].iloc[0], int(pdf["dims"].iloc[0])
         return out
 
     return run
 
 
-def neighbours(df: DataFrame, id_col: str = "chunk_id", group_col: str = "model_id", dims_col: str = "dims", vector_col: str = "vector", k: int = 5, floor: float = 0.82, rows: int = ROWS) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str = "chunk_id", group_col: str = "model_id", dims_col: str = "dims", vector_col: str = "vector", k: int = 5, floor: float = 0.82, rows: int | None = None) -> DataFrame:
     """grp, id, place (1..k), other, cosine: for every usable vector its k most similar of the same group, cosine >= floor."""
     good = usable(df, id_col, group_col, dims_col, vector_col)
     key = ["grp", "dims", "h1", "h2"]
@@ -145,9 +173,14 @@ def neighbours(df: DataFrame, id_col: str = "chunk_id", group_col: str = "model_
     least = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
     few = hashed.select(*key, "id").withColumn("n", least).where(F.col("n") <= k + 1)
     classes = few.groupBy(*key).agg(F.min("id").alias("cls"), F.sort_array(F.collect_list("id")).alias("first"))
-    members = hashed.select(*key, "id").join(classes.select(*key, "cls"), key).select("grp", "dims", "id", "cls")
-    sizes = members.groupBy("grp", "dims").agg(F.countDistinct("cls").alias("n")).select("grp", "dims", F.ceil(F.col("n") / rows).cast("int").alias("blocks"))
-    reps = good.join(classes.select("grp", "dims", F.col("cls").alias("id")), ["grp", "dims", "id"]).withColumnRenamed("id", "cls")
+    members = apart(hashed.select(*key, "id")).join(apart(classes.select(*key, "cls")), key).select("grp", "dims", "id", "cls")
+    cores = good.sparkSession.sparkContext.defaultParallelism
+    most = F.greatest(F.lit(1024), F.floor(F.lit(CELLS) / F.col("dims")))
+    wide = F.lit(rows) if rows else F.least(most, F.greatest(F.lit(LEAST_ROWS), F.ceil(F.col("n") / math.ceil(math.sqrt(2 * cores)))))
+    sizes = cut(classes.groupBy("grp", "dims").agg(F.count("*").alias("n")).select("grp", "dims", F.ceil(F.col("n") / wide).cast("int").alias("blocks")))
+    tasks = int(sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1)
+    sizes = F.broadcast(sizes)  # a row per model and length
+    reps = apart(good).join(apart(classes.select("grp", "dims", F.col("cls").alias("id"))), ["grp", "dims", "id"]).withColumnRenamed("id", "cls")
     packed = (
         reps.join(sizes, ["grp", "dims"])
         .withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
@@ -159,17 +192,19 @@ def neighbours(df: DataFrame, id_col: str = "chunk_id", group_col: str = "model_
     tiles = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "grp", "dims", "block", "rows", "payload", F.least("block", "o").alias("ti"), F.greatest("block", "o").alias("tj")
     )
-    near = tiles.groupBy("grp", "dims", "ti", "tj").applyInPandas(_tile(k, floor), "x long, y long, c double, grp string, dims int")
+    # tiles are few and costly: dealt to as many tasks as there are tiles, twice over for a hash's unevenness, and not put together
+    spread = tiles.repartition(min(max(2 * tasks, cores), 20_000), "grp", "dims", "ti", "tj")
+    near = spread.groupBy("grp", "dims", "ti", "tj").applyInPandas(_tiles(k, floor), "x long, y long, c double, grp string, dims int")
     top = lambda d, *by: d.withColumn("n", F.row_number().over(Window.partitionBy("grp", "dims", "x").orderBy(F.col("c").desc(), *by))).where(F.col("n") <= k)
     best = top(near, "y").select("grp", "dims", "x", "y", "c")
     # classes to ids: of each near class the first ids, and the copies in the own class
     firsts = classes.select("grp", "dims", F.col("cls").alias("y"), "first")
-    others = best.join(firsts, ["grp", "dims", "y"]).select("grp", "dims", "x", "c", F.explode("first").alias("other"))
+    others = apart(best).join(apart(firsts), ["grp", "dims", "y"]).select("grp", "dims", "x", "c", F.explode("first").alias("other"))
     if floor <= 1:
         own = firsts.where(F.size("first") > 1).select("grp", "dims", F.col("y").alias("x"), F.lit(1.0).alias("c"), F.explode("first").alias("other"))
         others = others.unionByName(own)
     short = others.withColumn("n", F.row_number().over(Window.partitionBy("grp", "dims", "x").orderBy(F.col("c").desc(), "other"))).where(F.col("n") <= k + 1).drop("n")
-    each = members.withColumnRenamed("cls", "x").join(short, ["grp", "dims", "x"]).where(F.col("id") != F.col("other"))
+    each = apart(members.withColumnRenamed("cls", "x")).join(apart(short), ["grp", "dims", "x"]).where(F.col("id") != F.col("other"))
     place = F.row_number().over(Window.partitionBy("grp", "dims", "id").orderBy(F.col("c").desc(), "other"))
     return each.withColumn("place", place).where(F.col("place") <= k).select("grp", "id", "place", "other", F.col("c").alias("cosine"))
 

@@ -58,8 +58,27 @@ def test_without_floor(spark):
 def test_quantisation_bound():
     rng = np.random.default_rng(0)
     m = rng.normal(size=(50, 24)).astype(np.float32)
-    x, q, e = vj.quantised(m)
-    assert np.abs(x @ x.T - q @ q.T).max() <= e * (1 + e) + e + 1e-6
+    m[7] = 0
+    m[7, 3] = 1  # one that fills the scale
+    x, q, scale, e = vj.quantised(m)
+    assert q.dtype == np.int8
+    whole = q.astype(np.int64) @ q.astype(np.int64).T
+    assert np.array_equal(whole, q.astype(np.float32) @ q.astype(np.float32).T)
+    assert np.abs(x @ x.T - whole * scale**2).max() <= e * (1 + e) + e + 1e-6
+
+
+def test_heaps_keep_the_best():
+    rng = np.random.default_rng(1)
+    names = rng.permutation(100)
+    h = vj._Heaps(10, 3)
+    pairs = [(int(x), int(y), float(c)) for x, y, c in zip(rng.integers(10, size=900), rng.integers(100, size=900), rng.integers(9, size=900) / 9)]
+    pairs = list({(x, y): (x, y, c) for x, y, c in pairs}.values())
+    for k in range(0, len(pairs), 50):
+        x, y, c = map(np.array, zip(*pairs[k : k + 50]))
+        h.add(x, y, c, names)
+    for row in range(10):
+        want = sorted((-c, names[y]) for x, y, c in pairs if x == row)[:3]
+        assert sorted((-c, names[y]) for x, y, c in zip(h.x, h.y, h.c) if x == row) == want
 
 
 def test_empty(spark):
