@@ -21,16 +21,18 @@ belong to no pair; texts of any length are used whole; an empty table gives an e
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.words import WordHash, batch_hashes, mix
-from lumenfold.session import cut, scratch, spread
+from lumenfold.session import apart, cut, scratch, spread
 
 SKETCH_BITS = 22
 SKETCH = 1 << SKETCH_BITS
@@ -88,7 +90,9 @@ def _parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-SURVEY = "kind int, id long, key long, n int, b0 long, b1 long, b2 long, b3 long, part int, payload binary"
+SURVEY = "kind int, id long, key long, n int, b0 long, b1 long, b2 long, b3 long, part int, task int, payload binary"
+#: Shares of tasks that are added up at once.
+FAN = 64
 
 
 def _survey(n: int, min_words: int):
@@ -107,37 +111,53 @@ def _survey(n: int, min_words: int):
                 starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                 bits = _parity(h, starts)
                 yield pd.DataFrame(
-                    {"kind": 0, "id": pdf["id"].to_numpy()[use], "key": key[use], "n": np.diff(np.concatenate([starts, [len(g)]])), "b0": bits[:, 0], "b1": bits[:, 1], "b2": bits[:, 2], "b3": bits[:, 3], "part": None, "payload": None}
+                    {"kind": 0, "id": pdf["id"].to_numpy()[use], "key": key[use], "n": np.diff(np.concatenate([starts, [len(g)]])), "b0": bits[:, 0], "b1": bits[:, 1], "b2": bits[:, 2], "b3": bits[:, 3], "part": None, "task": None, "payload": None}
                 )
         if counts.any():
             yield pd.DataFrame(
-                {"kind": 1, "id": None, "key": None, "n": None, "b0": None, "b1": None, "b2": None, "b3": None, "part": range(SKETCH_BLOCKS), "payload": [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(counts, SKETCH_BLOCKS)]}
+                {"kind": 1, "id": None, "key": None, "n": None, "b0": None, "b1": None, "b2": None, "b3": None, "part": range(SKETCH_BLOCKS), "task": TaskContext.get().partitionId(), "payload": [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SKETCH_BLOCKS)]}
             )
 
     return run
 
 
-def _add_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adds shares of a part of the count sketch; gives levels: 12 per doubling, 255 at most."""
-    total = sum(np.frombuffer(zlib.decompress(x), dtype=np.uint32).astype(np.int64) for x in pdf["payload"])
-    level = np.minimum(255, np.round(12 * np.log2(total + 1.0))).astype(np.uint8)
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "total": [int(total.sum())], "payload": [zlib.compress(level.tobytes(), 1)]})
+def _in_levels(shares: DataFrame, add) -> dict[int, bytes]:
+    """part, task, payload (compressed): the shares of all tasks added up, FAN at a time, level by level, so no task gets more
+    than FAN of them however many tasks there were. SKETCH_BLOCKS parts of a fixed size come to the driver."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = add([zlib.decompress(x) for x in pdf["payload"]])
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "task": [pdf["task"].iloc[0] // FAN], "payload": [zlib.compress(total, 1)]})
+
+    tasks = (shares.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        shares = shares.groupBy("part", F.floor(F.col("task") / FAN).alias("_up")).applyInPandas(run, "part int, task int, payload binary")
+        if tasks <= FAN:
+            return {r.part: zlib.decompress(bytes(r.payload)) for r in shares.select("part", "payload").collect()}
+        tasks = -(-tasks // FAN)
 
 
-def _salts() -> np.ndarray:
+def _levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Rarity levels of the sketch's counters, 255 at most, and how many make a doubling: 12, or fewer where the greatest
+    count asks for it, so no count is beyond the last level."""
+    fine = min(12.0, 255 / math.log2(int(counts.max(initial=0)) + 2))
+    return np.minimum(255, np.round(fine * np.log2(counts + 1.0))).astype(np.uint8), fine
+
+
+def _salts(fine: float) -> np.ndarray:
     """Salts per level."""
-    return 1 + np.floor((2.0 ** (np.arange(256) / 12) - 1) / HOT).astype(np.int64)
+    return 1 + np.floor((2.0 ** (np.arange(256) / fine) - 1) / HOT).astype(np.int64)
 
 
 def _ceil(a, num: int, den: int):
     return (a * num + den - 1) // den
 
 
-def _deal(n: int, min_words: int, num: int, den: int, levels, blocks: int):
+def _deal(n: int, min_words: int, num: int, den: int, levels, fine: float, blocks: int):
     """Second reading: the rare part of each row of the matrix, dealt to column blocks."""
 
     def run(batches):
-        cache, level_of, salts_of = WordHash(), np.frombuffer(zlib.decompress(levels.value), dtype=np.uint8), _salts()
+        cache, level_of, salts_of = WordHash(), np.frombuffer(zlib.decompress(levels.value), dtype=np.uint8), _salts(fine)
         for whole in batches:
             for pdf in _slices(whole):
                 g, key, use = _grams(pdf["text"].tolist(), cache, n, min_words)
@@ -278,14 +298,10 @@ def _id_filter(ids: DataFrame) -> bytes:
         for pdf in batches:
             bits[_filter_at(pdf["id"].to_numpy())] = True
         if bits.any():
-            yield pd.DataFrame({"part": range(SKETCH_BLOCKS), "payload": [zlib.compress(np.packbits(x, bitorder="little").tobytes(), 1) for x in np.split(bits, SKETCH_BLOCKS)]})
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in pdf["payload"]])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "payload": [zlib.compress(out.tobytes(), 1)]})
+            yield pd.DataFrame({"part": range(SKETCH_BLOCKS), "task": TaskContext.get().partitionId(), "payload": [zlib.compress(np.packbits(x, bitorder="little").tobytes(), 1) for x in np.split(bits, SKETCH_BLOCKS)]})
 
-    rows = ids.mapInPandas(fill, "part int, payload binary").groupBy("part").applyInPandas(join, "part int, payload binary").collect()
-    parts = {r.part: zlib.decompress(bytes(r.payload)) for r in rows}
+    shares = cut(ids.mapInPandas(fill, "part int, task int, payload binary"))
+    parts = _in_levels(shares, lambda x: np.bitwise_or.reduce([np.frombuffer(y, dtype=np.uint8) for y in x]).tobytes())
     empty = bytes((1 << FILTER_BITS) // 8 // SKETCH_BLOCKS)
     return zlib.compress(b"".join(parts.get(k, empty) for k in range(SKETCH_BLOCKS)), 1)
 
@@ -299,30 +315,31 @@ def class_pairs(docs: DataFrame, id_col: str, text_col: str, n: int = 3, num: in
     texts.mapInPandas(_survey(n, min_words), SURVEY).write.parquet(path)
     survey = spark.read.schema(SURVEY).parquet(path)
     members = survey.where("kind = 0").select("key", "id").distinct()
-    sketch = survey.where("kind = 1").select("part", "payload").groupBy("part").applyInPandas(_add_parts, "part int, total long, payload binary").collect()
-    parts = {r.part: zlib.decompress(bytes(r.payload)) for r in sketch}
-    total = sum(r.total for r in sketch)
-    levels = spark.sparkContext.broadcast(zlib.compress(b"".join(parts.get(k, bytes(SKETCH // SKETCH_BLOCKS)) for k in range(SKETCH_BLOCKS)), 1))
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.65 / BLOCK_ENTRIES))
-    rare = texts.mapInPandas(_deal(n, min_words, num, den, levels, blocks), "block int, rows int, entries int, payload binary")
-    found = rare.groupBy("block").applyInPandas(_product(num, den), "a long, b long")
+    parts = _in_levels(survey.where("kind = 1").select("part", "task", "payload"), lambda x: sum(np.frombuffer(y, dtype=np.int64) for y in x).tobytes())
+    counts = np.concatenate([np.frombuffer(parts[k], dtype=np.int64) if k in parts else np.zeros(SKETCH // SKETCH_BLOCKS, np.int64) for k in range(SKETCH_BLOCKS)])
+    level, fine = _levels(counts)
+    levels = spark.sparkContext.broadcast(zlib.compress(level.tobytes(), 1))
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() * 0.65 / BLOCK_ENTRIES))
+    rare = texts.mapInPandas(_deal(n, min_words, num, den, levels, fine, blocks), "block int, rows int, entries int, payload binary")
+    # a task per block: blocks are large, so tasks aren't put together
+    found = rare.repartition(blocks, "block").groupBy("block").applyInPandas(_product(num, den), "a long, b long")
     # bounds by parity sketches
     one = survey.where("kind = 0").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")])
     reps = members.groupBy("key").agg(F.min("id").alias("rep"))
     side = lambda s: one.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(f"b{k}").alias(f"b{k}_{s}") for k in range(4)])
-    apart = sum((F.bit_count(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(1, 4)), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
+    differ = sum((F.bit_count(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(1, 4)), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
     # symmetric difference of sets that reach num/den: at most (den - num) / (den + num) of both sizes
-    left = found.join(side("a"), "a").join(side("b"), "b").where(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+    left = apart(found).join(apart(side("a")), "a").join(apart(side("b")), "b").where(differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
     # a pair may come from several blocks; few are left here
     rep = lambda s: reps.select(F.col("key").alias(s), F.col("rep").alias(f"rep_{s}"))
-    left = cut(left.select("a", "b").distinct().join(rep("a"), "a").join(rep("b"), "b"))
+    left = cut(apart(left.select("a", "b").distinct()).join(apart(rep("a")), "a").join(apart(rep("b")), "b"))
     ids = left.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
     wanted = spark.sparkContext.broadcast(_id_filter(ids))
     sets = texts.mapInPandas(_sets(n, min_words, wanted), "id long, grams array<long>").dropDuplicates(["id"])
     s = lambda x: sets.select(F.col("id").alias(f"rep_{x}"), F.col("grams").alias(f"grams_{x}"))
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     pairs = (
-        left.join(s("a"), "rep_a").join(s("b"), "rep_b")
+        apart(left).join(apart(s("a")), "rep_a").join(apart(s("b")), "rep_b")
         .select("a", "b", shared.alias("shared"), (F.size("grams_a") + F.size("grams_b")).alias("both"))
         .select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("united"))
         .where(F.col("shared") * den >= F.col("united") * num)
@@ -333,32 +350,32 @@ def class_pairs(docs: DataFrame, id_col: str, text_col: str, n: int = 3, num: in
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs of ids, a < b: of different classes that are linked, and of the same class."""
     m = lambda k, i: members.select(F.col("key").alias(k), F.col("id").alias(i))
-    across = pairs.select("a", "b").join(m("a", "x"), "a").join(m("b", "y"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    across = apart(pairs.select("a", "b")).join(apart(m("a", "x")), "a").join(apart(m("b", "y")), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     copied = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    twins = members.join(copied, "key")
-    same = twins.select("key", F.col("id").alias("a")).join(twins.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+    twins = apart(members).join(apart(copied), "key")
+    same = apart(twins.select("key", F.col("id").alias("a"))).join(apart(twins.select("key", F.col("id").alias("b"))), "key").where("a < b").select("a", "b")
     return across.unionByName(same).distinct()
 
 
-def groups(pairs: DataFrame, members: DataFrame, max_rounds: int = 60) -> DataFrame:
+def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """One row per record: id, class_id, links (linked classes), group_id (least class id that links reach).
 
     Labels are lowered by neighbours and by jumping to the label's own label, so rounds grow as the logarithm of a
     chain; each round's labels are checkpointed to the shared folder."""
     edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(edges.select(F.col("a").alias("k")).distinct().withColumn("l", F.col("k")))
-    for _ in range(max_rounds):
-        near = edges.join(labels, edges["b"] == labels["k"]).groupBy("a").agg(F.min("l").alias("m"))
-        low = labels.join(near, labels["k"] == near["a"], "left").select("k", "l", F.least("l", F.coalesce("m", "l")).alias("m"))
+    while True:
+        near = apart(edges).join(apart(labels), edges["b"] == labels["k"]).groupBy("a").agg(F.min("l").alias("m"))
+        low = apart(labels).join(apart(near), labels["k"] == near["a"], "left").select("k", "l", F.least("l", F.coalesce("m", "l")).alias("m"))
         jump = labels.select(F.col("k").alias("m"), F.col("l").alias("j"))
-        new = cut(low.join(jump, "m", "left").select("k", F.col("l").alias("old"), F.least("m", F.coalesce("j", "m")).alias("l")))
+        new = cut(apart(low).join(apart(jump), "m", "left").select("k", F.col("l").alias("old"), F.least("m", F.coalesce("j", "m")).alias("l")))
         moved = new.where("old <> l").limit(1).count()
         labels = new.select("k", "l")
         if not moved:
             break
     links = edges.groupBy("a").agg(F.count("*").alias("links"))
     return (
-        members.join(labels, members["key"] == labels["k"], "left")
-        .join(links, members["key"] == links["a"], "left")
+        apart(members).join(apart(labels), members["key"] == labels["k"], "left")
+        .join(apart(links), members["key"] == links["a"], "left")
         .select("id", F.col("key").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("l", "key").alias("group_id"))
     )

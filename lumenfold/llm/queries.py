@@ -195,9 +195,16 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str, budget_share: float | None) -> tuple[DataFrame, DataFrame]:
+    """The exponent is bisected to the caps and to the entropy of the targets that can be met."""
     counts = cut(mixing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+    targets = table(spark, sf_dir, "source_targets")
     budget = None if budget_share is None else budget_share * float(counts.agg(F.sum("n")).first()[0] or 0)
-    return mixing.mix(counts, table(spark, sf_dir, "source_targets"), budget)
+    if budget is not None:
+        return mixing.mix(counts, targets, budget)
+    held = {r.source for r in counts.select("source").join(F.broadcast(targets.select(F.lower(F.trim("source")).alias("source"))), "source", "left_semi").distinct().collect()}  # a row per target source
+    shares = {r.s: float(r.t) for r in targets.where("source IS NOT NULL").groupBy(F.lower(F.trim("source")).alias("s")).agg(F.sum("target_share").alias("t")).collect() if r.s in held and r.t}
+    goal = mixing.entropy({s: t / sum(shares.values()) for s, t in shares.items()}) if shares else None
+    return mixing.mix(counts, targets, None, least_entropy=goal)
 
 
 @query("p9_mix")

@@ -9,7 +9,7 @@ blocks of BLOCK rank values and over the blocks, so neither a group that holds a
 meets in one task.
 
 Defined results: redeliveries of (group, item) count once, with the best rank; a null rank means absent from that list;
-rows with a null group or item are dropped; a row in no list has score 0 and comes last; an empty table gives none.
+rows with a null group or item are dropped; ranks of another type than whole numbers are refused; a row in no list has score 0 and comes last; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.session import cut
+from lumenfold.session import apart, cut
 
 #: Rank values a prefix sum covers in one task; a list has at most 2**31 / BLOCK blocks.
 BLOCK = 65536
@@ -30,15 +30,18 @@ def positions(rows: DataFrame) -> DataFrame:
     outer = Window.partitionBy("_g", "_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = hist.groupBy("_g", "_s", "_b").agg(F.sum("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(outer), F.lit(0)))
     at = (
-        hist.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
-        .join(blocks.select("_g", "_s", "_b", "_before"), ["_g", "_s", "_b"])
+        apart(hist.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0))))
+        .join(apart(blocks.select("_g", "_s", "_b", "_before")), ["_g", "_s", "_b"])
         .select("_g", "_s", "_r", (F.col("_before") + F.col("_in") + 1).alias("_p"))
     )
-    return rows.join(at, ["_g", "_s", "_r"])
+    return apart(rows).join(apart(at), ["_g", "_s", "_r"])
 
 
 def fuse(df: DataFrame, group: str, item: str, ranks: list[str], k: float = 60.0, best: int = 3) -> DataFrame:
     """group, item, a position per list (pos_<rank column>), score, lists_in, lists_best (lists with position <= best)."""
+    other = [c for c in ranks if df.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long")]
+    if other:
+        raise TypeError(f"ranks are whole numbers; of another type: {', '.join(other)}")
     one = (
         df.select(F.col(group).alias("_g"), F.col(item).alias("_i"), *[F.col(c).alias(f"_r{n}") for n, c in enumerate(ranks)])
         .where(F.col("_g").isNotNull() & F.col("_i").isNotNull())
@@ -72,4 +75,4 @@ def ordered(fused: DataFrame, group: str, item: str) -> DataFrame:
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(group, "_pid").agg(F.count("*").alias("_n")).select(group, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = F.row_number().over(Window.partitionBy(group, "_pid").orderBy(*key[1:]))
-    return ranged.withColumn("_in", inside).join(offsets, [group, "_pid"]).withColumn("place", F.col("_in") + F.col("_off")).drop("_pid", "_in", "_off")
+    return apart(ranged.withColumn("_in", inside)).join(apart(offsets), [group, "_pid"]).withColumn("place", F.col("_in") + F.col("_off")).drop("_pid", "_in", "_off")

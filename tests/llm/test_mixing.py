@@ -33,3 +33,23 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world", " A", 1), (2, None, "a", 1), (3, "", "a", 1), (4, "x", None, 1), (5, "a b " * 200_000, "a", 1)], "id long, text string, source string, n int")
     got = {r.id: (r.source, r.n) for r in mx.token_counts(df, "id", "text", "source").collect()}
     assert got[1] == ("a", 2) and set(got) == {1, 5} and got[5][1] >= 400_000
+
+
+def test_entropy_goal():
+    natural, target, cap = {"a": 90.0, "b": 9.0, "c": 1.0}, {"a": 0.98, "b": 0.01, "c": 0.01}, {"a": 9.0, "b": 9.0, "c": 9.0}
+    w, t, _ = mx.weights(natural, target, cap, None, 0.2)
+    assert 0 < t < 1 and abs(mx.entropy(w) - 0.2) < 1e-6
+    assert mx.weights(natural, target, cap)[1] == 1.0
+    w, t, budget = mx.weights(natural, target, cap, 1e9)
+    assert t < 1 and abs(budget - min(cap[s] * natural[s] / w[s] for s in w)) < 1e-6
+
+
+def test_pieces_part_where_the_pre_tokenizer_does(monkeypatch):
+    if not os.path.exists(mx.TOKENIZER):
+        pytest.skip("no vocabulary here")
+    with open(mx.TOKENIZER, "rb") as f:
+        enc = mx._encoding(f.read())
+    monkeypatch.setattr(mx, "PIECE", 10)
+    for t in ("one two  three\nfour, five   six seven's eight " * 9, "x" * 300, "", "a b"):
+        assert "".join(mx.pieces(t)) == t
+        assert sum(map(len, enc.encode_ordinary_batch(mx.pieces(t)))) == len(enc.encode_ordinary(t))

@@ -65,3 +65,23 @@ def test_hot_columns_are_salted(spark, monkeypatch):
 
 def test_empty(spark):
     assert found(spark, [])[2] == set()
+
+
+def test_shares_are_added_in_levels(spark):
+    import zlib
+
+    import numpy as np
+
+    rows = [(part, task, zlib.compress(np.full(4, task + part, dtype=np.int64).tobytes())) for part in range(2) for task in range(nd.FAN * 2 + 3)]
+    df = spark.createDataFrame(rows, "part int, task int, payload binary")
+    got = nd._in_levels(df, lambda x: sum(np.frombuffer(y, dtype=np.int64) for y in x).tobytes())
+    assert {k: np.frombuffer(v, dtype=np.int64).tolist() for k, v in got.items()} == {p: [sum(t + p for t in range(nd.FAN * 2 + 3))] * 4 for p in range(2)}
+
+
+def test_levels_have_no_ceiling():
+    import numpy as np
+
+    counts = np.array([0, 1, 7, 10**6, 10**12])
+    level, fine = nd._levels(counts)
+    assert level.max() == 255 and np.all(np.diff(level.astype(int)) > 0)
+    assert nd._salts(fine)[level[-1]] > 0.8 * 10**12 / nd.HOT
