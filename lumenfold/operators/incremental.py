@@ -110,7 +110,7 @@ class VersionedState:
         names = (st.getPath().getName() for st in self._fs.listStatus(self._path(self.root)))
         return max((int(n[len("current-") :]) for n in names if n.startswith("current-")), default=0)
 
-    def _folder(self, version: int) -> str:
+    def folder(self, version: int) -> str:
         stream = self._fs.open(self._path(f"{self.root}/current-{version}"))
         try:
             return bytes(stream.readAllBytes()).decode()
@@ -119,7 +119,7 @@ class VersionedState:
 
     def read(self) -> DataFrame | None:
         v = self.version()
-        return self.spark.read.parquet(f"{self.root}/{self._folder(v)}") if v else None
+        return self.spark.read.parquet(f"{self.root}/{self.folder(v)}") if v else None
 
     def pending(self, current: DataFrame) -> DataFrame:
         """Actions for `current` (fingerprints, one row per _key) against the version in force."""
@@ -132,10 +132,10 @@ class VersionedState:
         v = (self.version() if after is None else after) + 1
         name = f"v{v}-{uuid.uuid4().hex}"
         current.write.parquet(f"{self.root}/{name}")
-        self._point(v, name)
+        self.point(v, name)
         return v
 
-    def _point(self, v: int, name: str) -> None:
+    def point(self, v: int, name: str) -> None:
         ready, target = self._path(f"{self.root}/_pointer-{name}"), self._path(f"{self.root}/current-{v}")
         out = self._fs.create(ready, True)
         out.write(bytearray(name.encode()))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import ranking as R
 from lumenfold.functions.text import fold, jaccard, query_terms, short_snippet, tokens, trigrams, with_snippet, word_count
 from lumenfold.functions.vectors import dot
+from lumenfold.operators.text_index import TextIndex, postings  # noqa: F401
 from lumenfold.plans.nlq import ParsedQuery
 from lumenfold.session import spread
 
@@ -24,12 +25,6 @@ def _bm25(n: Column, df: Column, tf: Column, dl: Column, avgdl: Column) -> Colum
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.try_divide(dl, avgdl)))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, dl: the inverted index of the chunk texts."""
-    t = chunks.select(F.col("id").alias("chunk_id"), tokens(F.col("text")).alias("t"))
-    return t.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n_docs, avg_dl over all chunks."""
     return chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
@@ -38,7 +33,7 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 _SIGN, _BREAK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 
 
-def _term_count(folded: Column, pieces: list[str]) -> Column:
+def term_count(folded: Column, pieces: list[str]) -> Column:
     """Occurrences of a term in a folded text: a prefix of a word, or a phrase whose last piece is a prefix. A pattern
     over the text, as an array of its words would cost far more than counting."""
     pattern = rf"(?<!{_SIGN})" + rf"{_BREAK}+".join(re.escape(p) for p in pieces)
@@ -48,7 +43,7 @@ def _term_count(folded: Column, pieces: list[str]) -> Column:
 def _counted(chunks: DataFrame, terms: list[list[str]]) -> DataFrame:
     """chunk_id, file_id, ordinal, dl and a count per term. Redeliveries are dropped here, on a few numbers per chunk and not on texts."""
     t = spread(chunks.where(F.col("text").isNotNull()).select(F.col("id").alias("chunk_id"), "file_id", "ordinal", "text")).withColumn("t", fold(F.col("text")))
-    return t.select("chunk_id", "file_id", "ordinal", word_count(F.col("t")).alias("dl"), *[_term_count(F.col("t"), p).alias(f"f{k}") for k, p in enumerate(terms)]).dropDuplicates(["chunk_id"])
+    return t.select("chunk_id", "file_id", "ordinal", word_count(F.col("t")).alias("dl"), *[term_count(F.col("t"), p).alias(f"f{k}") for k, p in enumerate(terms)]).dropDuplicates(["chunk_id"])
 
 
 def content_hits(chunks: DataFrame, query: str) -> DataFrame:
@@ -74,11 +69,12 @@ def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(c, "chunk_id").dropDuplicates(["chunk_id"])
 
 
-def content_search(chunks: DataFrame, files: DataFrame, query: str, limit: int, now: datetime, cfg: R.RankingConfig | None = None) -> DataFrame:
-    """Best 3 * limit chunks of active files by BM25, with the score that path depth and recency give; the order is BM25's."""
+def content_search(chunks: DataFrame, files: DataFrame, query: str, limit: int, now: datetime, cfg: R.RankingConfig | None = None, index: TextIndex | None = None) -> DataFrame:
+    """By the inverted index where there is one, else by the texts: best 3 * limit chunks of active files by BM25, with the score that path depth and recency give; the order is BM25's."""
     cfg = cfg or R.RankingConfig()
     live = files.where("status = 'active'").select(F.col("id").alias("file_id"), *FILE_COLUMNS)
-    best = content_hits(chunks, query).join(live, "file_id").orderBy(F.col("bm25").desc(), "chunk_id").limit(3 * limit)
+    hits = index.hits(query, _bm25) if index is not None else content_hits(chunks, query)
+    best = hits.join(live, "file_id").orderBy(F.col("bm25").desc(), "chunk_id").limit(3 * limit)
     score = F.col("bm25") * R.depth_boost(F.col("path"), cfg.depth_weight) * R.recency_boost(F.col("mtime"), now, cfg.recency_weight, cfg.recency_half_life_days)
     flat = [p[-1] for p in query_terms(query)]
     return with_snippet(with_texts(best, chunks).withColumn("score", score), flat)
@@ -292,8 +288,9 @@ def attribute_search(files: DataFrame, images: DataFrame, tags: DataFrame, parse
     return single.where(ok & passes_filters(parsed)).withColumn("score", score).withColumn("match_type", F.lit("attribute")).orderBy(F.col("score").desc(), "path", "id").limit(limit)
 
 
-def hybrid_search(index: dict[str, DataFrame], parsed: ParsedQuery, limit: int, now: datetime, query_vector: list[float] | None = None, model: str | None = None, image_query_vector: list[float] | None = None, cfg: R.RankingConfig | None = None, diversity: bool = True) -> DataFrame:
-    """One ranked answer from up to five streams. index: files, chunks, chunk_vectors, image_tags, image_metadata, image_vectors.
+def hybrid_search(index: dict, parsed: ParsedQuery, limit: int, now: datetime, query_vector: list[float] | None = None, model: str | None = None, image_query_vector: list[float] | None = None, cfg: R.RankingConfig | None = None, diversity: bool = True) -> DataFrame:
+    """One ranked answer from up to five streams. index: files, chunks, chunk_vectors, image_tags, image_metadata, image_vectors,
+    and text_index (the inverted index of the chunks) where there is one.
 
     Without residual text the filters alone decide; without both the answer is empty. Streams that can't help aren't built."""
     cfg = cfg or R.RankingConfig()
@@ -303,7 +300,7 @@ def hybrid_search(index: dict[str, DataFrame], parsed: ParsedQuery, limit: int,
         return attribute_search(files, index["image_metadata"], index["image_tags"], parsed, limit, now, cfg)
     wide = max(4 * limit, 30)
     streams = [stream_ranks(filename_search(files, text, wide, now).withColumnRenamed("id", "file_id"), [F.col("score").desc(), F.col("path")], "filename")]
-    content = content_search(chunks, files, text, wide, now)
+    content = content_search(chunks, files, text, wide, now, index=index.get("text_index"))
     cols = lambda score, full: [F.col(score).alias("score"), "chunk_id", full.alias("text"), F.col("snippet"), "page", "section", "symbol"]
     streams.append(stream_ranks(content, [F.col("bm25").desc(), F.col("chunk_id")], "content", cols("score", F.col("text"))))
     if query_vector is not None:

@@ -12,8 +12,9 @@ from lumenfold.functions import ranking as R
 from lumenfold.functions import text as X
 from lumenfold.functions.vectors import line_vector
 from lumenfold.operators import catalog, search
+from lumenfold.operators.text_index import TextIndex
 from lumenfold.plans.nlq import parse_query
-from lumenfold.session import table
+from lumenfold.session import scratch, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -67,8 +68,19 @@ def raw_chunks_of(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunks").where("text IS NOT NULL")
 
 
-def index_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {"files": files_of(spark, sf), "chunks": raw_chunks_of(spark, sf), "chunk_vectors": vectors_of(spark, sf), "image_tags": tags_of(spark, sf), "image_metadata": images_of(spark, sf)}
+_text_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index_of(spark: SparkSession, sf: str) -> TextIndex:
+    """The inverted index of the chunks, built once in the application and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _text_indexes:
+        _text_indexes[key] = TextIndex.build(spark, raw_chunks_of(spark, sf), scratch(spark, "text-index"))
+    return _text_indexes[key]
+
+
+def index_of(spark: SparkSession, sf: str) -> dict:
+    return {"text_index": text_index_of(spark, sf), "files": files_of(spark, sf), "chunks": raw_chunks_of(spark, sf), "chunk_vectors": vectors_of(spark, sf), "image_tags": tags_of(spark, sf), "image_metadata": images_of(spark, sf)}
 
 
 CUR = r"""cur AS (SELECT id, replace(path, '\', '/') AS path, parent_dir, name, ext, size, mtime, ctime, kind, content_hash, status, last_indexed_at, error FROM files WHERE id IS NOT NULL
@@ -224,7 +236,7 @@ def corpus_stats(spark, sf):
 
 @query("content_bm25", f"WITH {CUR}, {content_sql(CONTENT.split(), 20)} SELECT chunk_id, file_id, ordinal, round(bm25, 6) AS bm25, round(bm25 * {DEPTH} * {recency()}, 6) AS score FROM con")
 def content_bm25(spark, sf):
-    got = search.content_search(raw_chunks_of(spark, sf), files_of(spark, sf), CONTENT, 20, NOW)
+    got = search.content_search(raw_chunks_of(spark, sf), files_of(spark, sf), CONTENT, 20, NOW, index=text_index_of(spark, sf))
     return got.select("chunk_id", "file_id", "ordinal", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
@@ -234,9 +246,15 @@ def content_bm25_all(spark, sf):
     return search.content_hits(raw_chunks_of(spark, sf), "scan led* dust!").select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
+@query("content_bm25_texts", f"WITH {CUR}, {content_sql(CONTENT.split(), 20)} SELECT chunk_id, file_id, ordinal, round(bm25, 6) AS bm25 FROM con")
+def content_bm25_texts(spark, sf):
+    """The same answer without an index, by reading all texts."""
+    return search.content_search(raw_chunks_of(spark, sf), files_of(spark, sf), CONTENT, 20, NOW).select("chunk_id", "file_id", "ordinal", F.round("bm25", 6).alias("bm25"))
+
+
 @query("content_snippet")
 def content_snippet(spark, sf):
-    return search.content_search(raw_chunks_of(spark, sf), files_of(spark, sf), CONTENT, 20, NOW).select("chunk_id", "snippet")
+    return search.content_search(raw_chunks_of(spark, sf), files_of(spark, sf), CONTENT, 20, NOW, index=text_index_of(spark, sf)).select("chunk_id", "snippet")
 
 
 @query("vector_topk", f"WITH {vector_sql(20)} SELECT chunk_id, file_id, round(score, 6) AS score FROM vtop")

@@ -78,7 +78,7 @@ def test_crash_between_writing_and_pointing(spark, tmp_path, monkeypatch):
     state.swap(one)
     two = mk([(1, "b", 1, t(0), "active")])
     with monkeypatch.context() as m:
-        m.setattr(inc.VersionedState, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        m.setattr(inc.VersionedState, "point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
         try:
             state.swap(two)
         except OSError:
