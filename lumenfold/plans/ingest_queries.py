@@ -82,10 +82,14 @@ def upsert_files(spark, sf):
     return catalog.upsert(_old(spark, sf), _seen(spark, sf)).select("id", "path", "size", F.round(F.unix_micros("ctime") / 1e6).cast("long").alias("ctime_s"), "status", "error")
 
 
-@query("move_detect", f"""WITH {SNAPS}, gone AS (SELECT path AS old_path, name FROM o WHERE status <> 'deleted' AND path NOT IN (SELECT path FROM s)), fresh AS (SELECT name, min(path) AS new_path FROM s WHERE path NOT IN (SELECT path FROM o) GROUP BY name)
-    SELECT min(old_path) AS old_path, new_path FROM gone JOIN fresh USING (name) GROUP BY new_path""")
+_MOVED = "CASE WHEN id % 5 = 0 THEN '/moved' || path ELSE path END"
+
+
+@query("move_detect", f"""WITH {SNAPS}, t AS (SELECT {_MOVED} AS path, name FROM s), gone AS (SELECT path AS old_path, name FROM o WHERE status <> 'deleted' AND path NOT IN (SELECT path FROM t)),
+    fresh AS (SELECT name, min(path) AS new_path FROM t WHERE path NOT IN (SELECT path FROM o) GROUP BY name) SELECT min(old_path) AS old_path, new_path FROM gone JOIN fresh USING (name) GROUP BY new_path""")
 def move_detect(spark, sf):
-    return catalog.moves(_old(spark, sf), _seen(spark, sf))
+    """The second listing finds every fifth file in another folder."""
+    return catalog.moves(_old(spark, sf), _seen(spark, sf).withColumn("path", F.expr(_MOVED)))
 
 
 @query("folder_removed", f"WITH {CUR} SELECT CASE WHEN starts_with(path, '/home') THEN 'deleted' ELSE status END AS status, count(*) AS files FROM cur GROUP BY 1")
@@ -304,15 +308,22 @@ def projects_upserted(spark, sf):
     return catalog.replace_by_key(p.where(F.lit(False)), p, ["path"]).groupBy("path").agg(F.max("id").alias("id"))
 
 
-@query("project_detect", rf"""WITH {CUR}, f AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS d, regexp_extract(path, '[^/]*$') AS n FROM cur WHERE status <> 'deleted' AND contains(path, '/')),
-    m AS (SELECT d, path, n, list_position(['Cargo.toml', 'package.json', 'pyproject.toml', 'setup.py', 'requirements.txt', 'Pipfile', 'go.mod', 'pom.xml', 'build.gradle.kts', 'build.gradle'], n) AS o FROM f WHERE NOT regexp_matches(d, '/\.[^/]+'))
-    SELECT d AS path, min(o)::INT AS o FROM m WHERE o IS NOT NULL AND o > 0 GROUP BY d""")
+_MANIFEST_TEXT = "CASE n WHEN 'Cargo.toml' THEN '[package]' || chr(10) || 'name = \"' || t || '\"' WHEN 'package.json' THEN '{\"name\": \"@desk/' || t || '\"}' WHEN 'go.mod' THEN 'module desk.example/x/' || t END"
+
+
+@query("project_detect", rf"""WITH {CUR}, f AS (SELECT path FROM cur WHERE status <> 'deleted' AND contains(path, '/') UNION SELECT manifest_path FROM projects WHERE manifest_path IS NOT NULL),
+    m AS (SELECT regexp_replace(path, '/[^/]*$', '') AS d, path, list_position(['Cargo.toml', 'package.json', 'pyproject.toml', 'setup.py', 'requirements.txt', 'Pipfile', 'go.mod', 'pom.xml', 'build.gradle.kts', 'build.gradle'], regexp_extract(path, '[^/]*$')) AS o FROM f),
+    b AS (SELECT d, min((o, path)) AS x FROM m WHERE o IS NOT NULL AND o > 0 AND NOT regexp_matches(d, '/\.[^/]+') GROUP BY d)
+    SELECT d AS path, x[2] AS manifest_path, CASE WHEN x[1] IN (1, 2, 7) THEN upper(regexp_extract(d, '[^/]*$')) ELSE regexp_extract(d, '[^/]*$') END AS name,
+        ['rust', 'javascript', 'python', 'python', 'python', 'python', 'go', 'java', 'kotlin', 'java'][x[1]] AS project_type FROM b""")
 def project_detect(spark, sf):
-    f = files_of(spark, sf).where("status <> 'deleted'").where(F.col("path").contains("/"))
-    rows = f.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("parent_dir"), F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.lit(None).cast("string").alias("content"))
-    found = project_source.detect(rows).where("manifest_path IS NOT NULL")
-    names = F.array(*[F.lit(m) for m, _ in project_source.MANIFESTS])
-    return found.select("path", F.array_position(names, F.regexp_extract("manifest_path", "[^/]*$", 0)).cast("int").alias("o")).where("o > 0")
+    """Projects in a listing of the files and of the known manifests, whose contents name the project in capitals."""
+    f = files_of(spark, sf).where("status <> 'deleted'").where(F.col("path").contains("/")).select("path")
+    f = f.unionByName(table(spark, sf, "projects").where("manifest_path IS NOT NULL").select(F.col("manifest_path").alias("path"))).distinct()
+    rows = f.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("parent_dir"), F.regexp_extract("path", "[^/]*$", 0).alias("name"))
+    named = rows.withColumns({"n": F.col("name"), "t": F.upper(F.regexp_extract("parent_dir", "[^/]*$", 0))}).withColumn("content", F.expr(_MANIFEST_TEXT))
+    found = project_source.detect(named.select("path", "parent_dir", "name", "content")).where("manifest_path IS NOT NULL")
+    return found.where(F.regexp_extract("manifest_path", "[^/]*$", 0).isin(*[m for m, _ in project_source.MANIFESTS])).select("path", "manifest_path", "name", "project_type")
 
 
 @query("nlq_batch")
@@ -424,9 +435,9 @@ def grid_search(spark, sf):
     return _trials(spark, sf).select("trial", F.round("mrr", 6).alias("mrr"), F.round("recall_at_10", 6).alias("recall_at_10"))
 
 
-@query("grid_search_best")
+@query("grid_search_best", SQL["grid_search"].replace("SELECT trial::INT", ", t AS (SELECT trial::INT") + ") SELECT * FROM t ORDER BY mrr DESC, recall_at_10 DESC, trial LIMIT 1")
 def grid_search_best(spark, sf):
-    return evaluation.best_trial(_trials(spark, sf))
+    return evaluation.best_trial(_trials(spark, sf)).select("trial", F.round("mrr", 6).alias("mrr"), F.round("recall_at_10", 6).alias("recall_at_10"))
 
 
 @query("eval_gate", f"WITH {_EV} SELECT avg(coalesce(1.0 / rank, 0)) >= greatest(0.0, 0.85 - 0.05) AS passed FROM r")
@@ -467,6 +478,6 @@ def files_in_folders(spark, sf):
 
 
 @query("retry_problems", """WITH f AS (SELECT user_id, '/u/' || user_id AS path, event_id % 2 = 1 AS late FROM events WHERE event_type = 'error'), p AS (SELECT user_id FROM f GROUP BY user_id HAVING NOT (count(*) FILTER (late) = 0 AND user_id % 2 = 0)),
-    j AS (SELECT user_id FROM events WHERE event_id % 2 = 0 AND event_type NOT IN ('error', 'view')) SELECT user_id AS file_id, 10 AS priority FROM p WHERE user_id NOT IN (SELECT user_id FROM j)""")
+    j AS (SELECT user_id FROM events WHERE event_id % 2 = 0 AND event_type NOT IN ('error', 'view') AND user_id % 3 <> 0) SELECT user_id AS file_id, 10 AS priority FROM p WHERE user_id NOT IN (SELECT user_id FROM j)""")
 def retry_problems(spark, sf):
-    return extension.retry_problems(_problems(spark, sf), _jobs(spark, sf), NOW).select("file_id", "priority")
+    return extension.retry_problems(_problems(spark, sf), _jobs(spark, sf).where("file_id % 3 <> 0"), NOW).select("file_id", "priority")
