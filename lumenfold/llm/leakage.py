@@ -2,7 +2,8 @@
 
 Documents are read as words (maximal runs of letters or digits, lower-cased), so case, punctuation and spacing don't
 matter. Each shard (a batch of documents) gets a suffix array of the places from which at least `least` words follow that
-the test items know at all; its order is made by prefix doubling. Every suffix of every test item is binary-searched in it;
+the test items know at all, in the order of their first `least` words (more isn't needed to find every match); the order is
+made by prefix doubling. Every suffix of every test item is binary-searched in it;
 the equal range holds all places that share the first `least` words, and each match is extended word by word to its full
 length. Nothing is sampled; a shard needs no other shard, so the corpus isn't shuffled.
 
@@ -83,10 +84,12 @@ def _full(flat: np.ndarray, least: int) -> np.ndarray:
 def search(shard: np.ndarray, owner: np.ndarray, test: TestSide) -> np.ndarray:
     """Rows (owner, item, length, place in the shard, place in the item) of all maximal matches of at least `least` words."""
     m = test.least
+    sa = _full(shard, m)
+    if not len(sa):
+        return np.zeros((0, 5), dtype=np.int64)
     both = np.concatenate([shard, [0], test.flat])
     rank = _ranks(both, m)
     base = len(shard) + 1
-    sa = _full(shard, m)
     sa = sa[np.argsort(rank[sa], kind="stable")]
     order = rank[sa]
     q = _full(test.flat, m)

@@ -85,23 +85,22 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(*_chunk_pairs(spark, sf_dir))
 
 
-@query(
-    "p5_found",
-    """
+_NEAREST = """
     WITH v AS (SELECT DISTINCT ON (chunk_id) chunk_id, model_id, dims, vector::DOUBLE[] AS x FROM chunk_vectors WHERE chunk_id IS NOT NULL AND model_id IS NOT NULL AND vector IS NOT NULL AND len(vector) = dims
         AND len(list_filter(vector, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0 ORDER BY chunk_id),
     u AS (SELECT chunk_id, model_id, dims, list_transform(x, lambda e: e / sqrt(list_inner_product(x, x))) AS x FROM v),
-    p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, list_inner_product(a.x, b.x) AS c FROM u a JOIN u b ON a.model_id = b.model_id AND a.dims = b.dims AND a.chunk_id <> b.chunk_id),
+    p AS (SELECT a.model_id, a.chunk_id AS x, b.chunk_id AS y, list_inner_product(a.x, b.x) AS c FROM u a JOIN u b ON a.model_id = b.model_id AND a.dims = b.dims AND a.chunk_id <> b.chunk_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(c, 12) DESC, y) AS k FROM p)
-    SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM r WHERE k <= 5 AND c >= 0.82
-    """,
-)
+"""
+
+
+@query("p5_found", _NEAREST + "SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM r WHERE k <= 5 AND c >= 0.82")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = vector_join.neighbour_pairs(vector_join.neighbours(table(spark, sf_dir, "chunk_vectors"), k=5, floor=0.82))
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
-@query("p5_neighbours")
+@query("p5_neighbours", _NEAREST + "SELECT model_id, x AS chunk_id, k::INT AS place, y AS neighbour_id, round(least(c, 1), 6) AS cosine FROM r WHERE k <= 5 AND c >= 0.82")
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = vector_join.neighbours(table(spark, sf_dir, "chunk_vectors"), k=5, floor=0.82)
     return lists.select(F.col("grp").alias("model_id"), F.col("id").alias("chunk_id"), "place", F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
@@ -159,26 +158,32 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text", least=12)
 
 
-@query(
-    "p8_found",
-    r"""
+_SHARED = r"""
     WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
     e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
-    dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d),
-    eg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM e)
-    SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
-    """,
-)
+    dg AS (SELECT doc_id, x.i AS i, x.g AS g FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: {'i': i - 1, 'g': array_to_string(w[i:i + 11], ' ')})) AS x FROM d)),
+    eg AS (SELECT item_id, x.i AS j, x.g AS g FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: {'i': i - 1, 'g': array_to_string(w[i:i + 11], ' ')})) AS x FROM e)),
+    hit AS (SELECT DISTINCT doc_id, item_id, i, j FROM dg JOIN eg USING (g))
+"""
+
+
+@query("p8_found", _SHARED + "SELECT DISTINCT doc_id, item_id FROM hit")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-@query("p8_matches")
+@query(
+    "p8_matches",
+    _SHARED
+    + """, runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM hit),
+    m AS (SELECT doc_id, item_id, count(*) + 11 AS words, min(i) AS doc_word, min(j) AS item_word FROM runs GROUP BY doc_id, item_id, i - j, run)
+    SELECT doc_id, item_id, words::INT AS words, doc_word::INT AS doc_word, item_word::INT AS item_word FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, doc_word, item_word) = 1""",
+)
 def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
-@query("p8_kept")
+@query("p8_kept", _SHARED + "SELECT doc_id FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM hit)")
 def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return leakage.cleaned(docs, _leaks(spark, sf_dir), "doc_id").select("doc_id")
