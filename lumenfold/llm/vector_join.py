@@ -1,7 +1,7 @@
 """Most similar vectors for every vector: a block matrix join over int8 tiles.
 
 Vectors of one group (same model, same length) are dealt to blocks by a hash of their class; a tile is a pair of blocks and a
-task of its own. A block's rows are quantised to int8 with one scale; a tile multiplies the int8 images (as whole numbers, which
+task of its own. A block's rows are quantised to int8, each with its scale; a tile multiplies the int8 images (as whole numbers, which
 the floating-point multiplier adds up exactly), and the norm of the rows' quantisation errors bounds how far a product may lie
 from the true cosine. Pairs that can't reach the floor, or can't be among the k best of either row, by these bounds are
 dropped; the others are computed again in double precision. Each row keeps its k best in a bounded heap, which a pair enters
@@ -67,14 +67,14 @@ def _unpack(rows: int, dims: int, payload: bytes) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(b, dtype=np.int64, count=rows), np.ascontiguousarray(planes.T).view(np.float32).reshape(rows, dims)
 
 
-def quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Unit rows in double precision; their int8 images; the scale of the images; the greatest norm of a row's quantisation error."""
+def quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Unit rows in double precision; their int8 images; the rows' scales; the greatest norm of a row's quantisation error."""
     x = m.astype(np.float64)
     x /= np.abs(x).max(axis=1)[:, None]  # no overflow in the norm
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    scale = float(np.abs(x).max()) / 127.0
-    image = np.rint(x / scale).astype(np.int8)
-    return x, image, scale, float(np.sqrt(((x - image * scale) ** 2).sum(axis=1)).max())
+    scale = np.abs(x).max(axis=1) / 127.0
+    image = np.rint(x / scale[:, None]).astype(np.int8)
+    return x, image, scale, float(np.sqrt(((x - image * scale[:, None]) ** 2).sum(axis=1)).max())
 
 
 def _best(x: np.ndarray, y: np.ndarray, c: np.ndarray, names: np.ndarray, k: int):
@@ -114,22 +114,24 @@ def _tile(names_a, m_a, names_b, m_b, k: int, floor: float) -> pd.DataFrame:
         names_b = names_a
     # products of whole numbers: their sums stay below 2**24 up to 1,040 dimensions, beyond that rounding is allowed for
     slack = ea * (1 + eb) + eb + 1e-5 + 1e-7 * max(0, xa.shape[1] - 1040)
-    unit = sa * sb
+    sa, sb = sa.astype(np.float32)[:, None], sb.astype(np.float32)
     left, right = _Heaps(len(qa), k), _Heaps(len(qb), k)
     fb = qb.astype(np.float32)
     for i in range(0, len(qa), SUB):
         fa = qa[i : i + SUB].astype(np.float32)
         for j in range(i if same else 0, len(qb), 4 * SUB):
             g = fa @ fb[j : j + 4 * SUB].T
-            hit = g >= (floor - slack) / unit
+            g *= sb[j : j + 4 * SUB]
+            g *= sa[i : i + SUB]
+            hit = g >= floor - slack
             if floor <= -1 or np.count_nonzero(hit) > STEP:
                 # rows that k others beat for certain needn't be computed again
                 if g.shape[1] > k:
-                    row = np.partition(g, g.shape[1] - k - 1, axis=1)[:, g.shape[1] - k - 1] - 2 * slack / unit
+                    row = np.partition(g, g.shape[1] - k - 1, axis=1)[:, g.shape[1] - k - 1] - 2 * slack
                 else:
                     row = np.full(g.shape[0], -np.inf)
                 if g.shape[0] > k:
-                    col = np.partition(g, g.shape[0] - k - 1, axis=0)[g.shape[0] - k - 1] - 2 * slack / unit
+                    col = np.partition(g, g.shape[0] - k - 1, axis=0)[g.shape[0] - k - 1] - 2 * slack
                 else:
                     col = np.full(g.shape[1], -np.inf)
                 hit &= (g >= row[:, None]) | (g >= col[None, :])

@@ -64,7 +64,7 @@ def test_quantisation_bound():
     assert q.dtype == np.int8
     whole = q.astype(np.int64) @ q.astype(np.int64).T
     assert np.array_equal(whole, q.astype(np.float32) @ q.astype(np.float32).T)
-    assert np.abs(x @ x.T - whole * scale**2).max() <= e * (1 + e) + e + 1e-6
+    assert np.abs(x @ x.T - whole * np.outer(scale, scale)).max() <= e * (1 + e) + e + 1e-6
 
 
 def test_heaps_keep_the_best():
