@@ -9,9 +9,11 @@ have at least `min_words` words. The product D * D^T of the incidence matrix is
    of the smaller and of the rarest y - a + 1 of the larger, with a = ceil(num / (num + den) * (x + y)). Only this part
    of the matrix is dealt to column blocks. A column that many texts have is split: one side is dealt by salt, the
    other copied to each salt, so no column lies in one task.
-3. In a block the product's pairs are discarded by the bounds that the sizes and the places of the shared column give.
-4. Surviving pairs are tested by 256-bit parity sketches of the rows: the bits that differ are a lower bound of the
-   symmetric difference. What is left is counted over the whole sets of n-grams.
+3. In a block the product's pairs are discarded by the bounds that the sizes and the places of the shared column give,
+   and by 256-bit parity sketches that the rows carry: the bits that differ are a lower bound of the symmetric difference.
+   Columns recur the more often the larger the corpus, so the pairs met in blocks grow faster than it; tested here, they
+   are never written. The blocks are dealt in passes from rows stored once, so the sketches' copies don't lie on disk at once.
+4. Of what is left, the shared n-grams are counted over the whole sets.
 
 No step is approximate: a sketch only orders columns or bounds a difference, so no link is lost; the last step decides.
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.words import WordHash, batch_hashes, mix
-from lumenfold.session import apart, cut, scratch, spread
+from lumenfold.session import apart, cut, drop, scratch, short_shuffles, spread
 
 SKETCH_BITS = 22
 SKETCH = 1 << SKETCH_BITS
@@ -41,6 +43,9 @@ SKETCH_BLOCKS = 64
 HOT = 20_000
 #: Entries of the incidence matrix that one block should hold.
 BLOCK_ENTRIES = 1_500_000
+#: The blocks are dealt in passes, so that only a pass's share lies on disk at once: as many as there are PASS_GRAMS n-grams, PASSES at most.
+PASSES = 8
+PASS_GRAMS = 6_000_000
 #: Bits of an n-gram's hash, of a text's number within a batch, and of the rarity level in the sort key.
 H_BITS, LEVEL_BITS = 42, 8
 FILTER_BITS = 26
@@ -90,13 +95,13 @@ def _parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-SURVEY = "kind int, id long, key long, n int, b0 long, b1 long, b2 long, b3 long, part int, task int, payload binary"
+SURVEY = "kind int, id long, key long, part int, task int, payload binary"
 #: Shares of tasks that are added up at once.
 FAN = 64
 
 
 def _survey(n: int, min_words: int):
-    """First reading: a row per text (class, size, parity sketch) and the task's share of the count sketch."""
+    """First reading: a row per text (its class) and the task's share of the count sketch."""
 
     def run(batches):
         cache, counts = WordHash(), np.zeros(SKETCH, dtype=np.int64)
@@ -105,17 +110,11 @@ def _survey(n: int, min_words: int):
                 g, key, use = _grams(pdf["text"].tolist(), cache, n, min_words)
                 if not len(use):
                     continue
-                h = g & _MASK
-                counts += np.bincount(_slot(h), minlength=SKETCH)
-                doc = (g >> np.uint64(H_BITS)).astype(np.int64)
-                starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                bits = _parity(h, starts)
-                yield pd.DataFrame(
-                    {"kind": 0, "id": pdf["id"].to_numpy()[use], "key": key[use], "n": np.diff(np.concatenate([starts, [len(g)]])), "b0": bits[:, 0], "b1": bits[:, 1], "b2": bits[:, 2], "b3": bits[:, 3], "part": None, "task": None, "payload": None}
-                )
+                counts += np.bincount(_slot(g & _MASK), minlength=SKETCH)
+                yield pd.DataFrame({"kind": 0, "id": pdf["id"].to_numpy()[use], "key": key[use], "part": None, "task": None, "payload": None})
         if counts.any():
             yield pd.DataFrame(
-                {"kind": 1, "id": None, "key": None, "n": None, "b0": None, "b1": None, "b2": None, "b3": None, "part": range(SKETCH_BLOCKS), "task": TaskContext.get().partitionId(), "payload": [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SKETCH_BLOCKS)]}
+                {"kind": 1, "id": None, "key": None, "part": range(SKETCH_BLOCKS), "task": TaskContext.get().partitionId(), "payload": [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SKETCH_BLOCKS)]}
             )
 
     return run
@@ -153,11 +152,14 @@ def _ceil(a, num: int, den: int):
     return (a * num + den - 1) // den
 
 
-def _deal(n: int, min_words: int, num: int, den: int, levels, fine: float, blocks: int):
-    """Second reading: the rare part of each row of the matrix, dealt to column blocks."""
+STORE = "texts int, entries int, payload binary"
+
+
+def _rows(n: int, min_words: int, num: int, den: int, levels):
+    """Second reading: class, size, parity sketch and the rare part of each row of the matrix, rarest column first."""
 
     def run(batches):
-        cache, level_of, salts_of = WordHash(), np.frombuffer(zlib.decompress(levels.value), dtype=np.uint8), _salts(fine)
+        cache, level_of = WordHash(), np.frombuffer(zlib.decompress(levels.value), dtype=np.uint8)
         for whole in batches:
             for pdf in _slices(whole):
                 g, key, use = _grams(pdf["text"].tolist(), cache, n, min_words)
@@ -166,49 +168,79 @@ def _deal(n: int, min_words: int, num: int, den: int, levels, fine: float, block
                 h, doc = g & _MASK, g >> np.uint64(H_BITS)
                 level = level_of[_slot(h)].astype(np.uint64)
                 s = np.sort((doc << np.uint64(H_BITS + LEVEL_BITS)) | (level << np.uint64(H_BITS)) | h)
-                h, doc = s & _MASK, (s >> np.uint64(H_BITS + LEVEL_BITS)).astype(np.int64)
-                level = ((s >> np.uint64(H_BITS)) & np.uint64(255)).astype(np.int64)
+                doc = (s >> np.uint64(H_BITS + LEVEL_BITS)).astype(np.int64)
                 starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                 size = np.diff(np.concatenate([starts, [len(s)]]))
+                bits = _parity(h, starts)
                 names = key[doc[starts]]
                 _, first = np.unique(names, return_index=True)  # copies in the same slice are dealt once
                 single = np.zeros(len(names), dtype=bool)
                 single[first] = True
                 row = np.repeat(np.arange(len(starts)), size)
-                pos = np.arange(len(s)) - starts[row]
-                probe = size - _ceil(size, num, den) + 1
-                index = size - _ceil(2 * size, num, num + den) + 1
-                keep = np.flatnonzero((pos < probe[row]) & single[row])
-                h, row, pos, level = h[keep], row[keep], pos[keep], level[keep]
+                keep = np.flatnonzero((np.arange(len(s)) - starts[row] < _probe(size, num, den)[row]) & single[row])
+                s = s[keep] & np.uint64((1 << (H_BITS + LEVEL_BITS)) - 1)
+                raw = names[single].astype(np.int64).tobytes() + size[single].astype(np.uint32).tobytes() + bits[single].tobytes()
+                yield pd.DataFrame({"texts": [int(single.sum())], "entries": [len(s)], "payload": [raw + s.view(np.uint8).reshape(-1, 8)[:, : (H_BITS + LEVEL_BITS + 7) // 8].tobytes()]})
+
+    return run
+
+
+def _probe(size, num: int, den: int):
+    """Columns of a row by which it may meet a row of at most its size."""
+    return size - _ceil(size, num, den) + 1
+
+
+def _deal(num: int, den: int, fine: float, blocks: int, passes: int, turn: int):
+    """The stored rows' entries, dealt to the column blocks of one pass."""
+    width = (H_BITS + LEVEL_BITS + 7) // 8
+
+    def run(batches):
+        salts_of = _salts(fine)
+        for pdf in batches:
+            for texts, entries, payload in zip(pdf["texts"], pdf["entries"], pdf["payload"]):
+                names = np.frombuffer(payload, dtype=np.int64, count=texts)
+                size = np.frombuffer(payload, dtype=np.uint32, count=texts, offset=8 * texts).astype(np.int64)
+                bits = np.frombuffer(payload, dtype=np.int64, count=4 * texts, offset=12 * texts).reshape(-1, 4)
+                s = np.zeros((entries, 8), dtype=np.uint8)
+                s[:, :width] = np.frombuffer(payload, dtype=np.uint8, count=entries * width, offset=44 * texts).reshape(-1, width)
+                s = s.view(np.uint64).ravel()
+                h, level = s & _MASK, (s >> np.uint64(H_BITS)).astype(np.int64)
+                held = _probe(size, num, den)
+                row = np.repeat(np.arange(texts), held)
+                pos = np.arange(entries) - np.repeat(np.cumsum(held) - held, held)
                 salts = salts_of[level]
                 # as a probe: one salt, by the class; as an index entry: each salt
-                own = (names[row] % salts) if len(salts) else salts
-                is_index = pos < index[row]
+                own = names[row] % salts
+                is_index = pos < (size - _ceil(2 * size, num, num + den) + 1)[row]
                 copies = np.where(is_index, salts, 1)
-                e = np.repeat(np.arange(len(h)), copies)
+                e = np.repeat(np.arange(entries), copies)
                 salt = np.where(is_index[e], np.arange(len(e)) - np.repeat(np.cumsum(copies) - copies, copies), own[e])
-                side = (salt == own[e]).astype(np.uint8) + 2 * is_index[e].astype(np.uint8)  # 1: probe, 2: index, 3: both
                 block = (mix(h[e] + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(blocks)).astype(np.int64)
+                mine = np.flatnonzero(block % passes == turn)
+                e, salt, block = e[mine], salt[mine], block[mine]
+                side = (salt == own[e]).astype(np.uint8) + 2 * is_index[e].astype(np.uint8)  # 1: probe, 2: index, 3: both
                 token = (h[e] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 o = np.lexsort((token, block))
                 e, block, token, side = e[o], block[o], token[o], side[o]
-                cutp = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+                cutp = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(e) else np.zeros(1, int)
                 out = []
                 for a, b in zip(cutp[:-1], cutp[1:]):
                     rows, local = np.unique(row[e[a:b]], return_inverse=True)
-                    t = token[a:b]
                     parts = [
-                        names[rows].astype(np.int64).tobytes(), size[rows].astype(np.uint32).tobytes(),
-                        np.diff(t, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), local.astype(np.uint16).tobytes(), pos[e[a:b]].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), side[a:b].tobytes(),
+                        np.diff(token[a:b], prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), size[rows].astype(np.uint32).tobytes(),
+                        local.astype(np.uint16).tobytes(), pos[e[a:b]].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), side[a:b].tobytes(),
                     ]
-                    out.append((int(block[a]), len(rows), b - a, zlib.compress(b"".join(parts), 1)))
+                    # names and sketches are as good as random: not compressed
+                    out.append((int(block[a]) // passes, len(rows), b - a, names[rows].tobytes() + bits[rows].tobytes() + zlib.compress(b"".join(parts), 1)))
                 yield pd.DataFrame(out, columns=["block", "rows", "entries", "payload"])
 
     return run
 
 
 def _unpack(rows: int, entries: int, payload: bytes):
-    b = zlib.decompress(payload)
+    names = np.frombuffer(payload, dtype=np.int64, count=rows)
+    bits = np.frombuffer(payload, dtype=np.uint64, count=4 * rows, offset=8 * rows).reshape(-1, 4)
+    b = zlib.decompress(memoryview(payload)[40 * rows :])
     at = 0
 
     def take(count, kind):
@@ -217,11 +249,10 @@ def _unpack(rows: int, entries: int, payload: bytes):
         at += out.nbytes
         return out
 
-    names, size = take(rows, np.int64), take(rows, np.uint32)
     token = np.cumsum(np.ascontiguousarray(take(entries * 4, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
-    local = take(entries, np.uint16)
+    size, local = take(rows, np.uint32), take(entries, np.uint16)
     pos = np.ascontiguousarray(take(entries * 4, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    return names, size, token, local, pos, take(entries, np.uint8)
+    return names, size, token, local, pos, take(entries, np.uint8), bits
 
 
 #: Products formed at once in a block.
@@ -229,7 +260,7 @@ STEP = 3_000_000
 
 
 def _product(num: int, den: int):
-    """A column block times its transpose, cut by the bounds: pairs (a, b), each once per block."""
+    """A column block times its transpose, cut by the bounds of sizes, places and parity sketches: pairs (a, b), each once per block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(*x) for x in zip(pdf["rows"], pdf["entries"], pdf["payload"])]
@@ -240,6 +271,7 @@ def _product(num: int, den: int):
         row = np.concatenate([p[3].astype(np.int64) + s for p, s in zip(parts, shift)])
         pos = np.concatenate([p[4] for p in parts]).astype(np.int64)
         side = np.concatenate([p[5] for p in parts])
+        bits = np.concatenate([p[6] for p in parts])
         del parts
         p = np.flatnonzero(side & 1)
         p = p[np.argsort(token[p], kind="stable")]
@@ -259,8 +291,11 @@ def _product(num: int, den: int):
             ok = (sx <= sy) & (sx * den >= sy * num) & (1 + np.minimum(sx - pos[x] - 1, sy - pos[y] - 1) >= a)
             rx, ry, sx, sy = rx[ok], ry[ok], sx[ok], sy[ok]
             ka, kb = names[rx], names[ry]
-            ok = np.where(sx == sy, ka < kb, ka != kb)
-            found.append(np.unique(np.stack([np.minimum(ka, kb)[ok], np.maximum(ka, kb)[ok]], 1), axis=0) if ok.any() else np.zeros((0, 2), np.int64))
+            ok = np.flatnonzero(np.where(sx == sy, ka < kb, ka != kb))
+            # symmetric difference of sets that reach num/den: at most (den - num) / (den + num) of both sizes
+            differ = np.bitwise_count(bits[rx[ok]] ^ bits[ry[ok]]).sum(axis=1, dtype=np.int64)
+            ok = ok[differ * (den + num) <= (sx[ok] + sy[ok]) * (den - num)]
+            found.append(np.unique(np.stack([np.minimum(ka, kb)[ok], np.maximum(ka, kb)[ok]], 1), axis=0) if len(ok) else np.zeros((0, 2), np.int64))
         f = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": f[:, 0], "b": f[:, 1]})
 
@@ -319,20 +354,24 @@ def class_pairs(docs: DataFrame, id_col: str, text_col: str, n: int = 3, num: in
     counts = np.concatenate([np.frombuffer(parts[k], dtype=np.int64) if k in parts else np.zeros(SKETCH // SKETCH_BLOCKS, np.int64) for k in range(SKETCH_BLOCKS)])
     level, fine = _levels(counts)
     levels = spark.sparkContext.broadcast(zlib.compress(level.tobytes(), 1))
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() * 0.65 / BLOCK_ENTRIES))
-    rare = texts.mapInPandas(_deal(n, min_words, num, den, levels, fine, blocks), "block int, rows int, entries int, payload binary")
-    # a task per block: blocks are large, so tasks aren't put together
-    found = rare.repartition(blocks, "block").groupBy("block").applyInPandas(_product(num, den), "a long, b long")
-    # bounds by parity sketches
-    one = survey.where("kind = 0").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "b0", "b1", "b2", "b3")])
-    reps = members.groupBy("key").agg(F.min("id").alias("rep"))
-    side = lambda s: one.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(f"b{k}").alias(f"b{k}_{s}") for k in range(4)])
-    differ = sum((F.bit_count(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(1, 4)), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
-    # symmetric difference of sets that reach num/den: at most (den - num) / (den + num) of both sizes
-    left = apart(found).join(apart(side("a")), "a").join(apart(side("b")), "b").where(differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+    total = int(counts.sum())
+    passes = min(PASSES, max(1, math.ceil(total / PASS_GRAMS)))
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.65 / BLOCK_ENTRIES), passes * spark.sparkContext.defaultParallelism)
+    kept, near = scratch(spark, "ngram-rows"), scratch(spark, "ngram-near")
+    texts.mapInPandas(_rows(n, min_words, num, den, levels), STORE).write.parquet(kept)
+    rare = spark.read.schema(STORE).parquet(kept)
+    for turn in range(passes):
+        dealt = rare.mapInPandas(_deal(num, den, fine, blocks, passes, turn), "block int, rows int, entries int, payload binary")
+        # a task per block: blocks are large, so tasks aren't put together
+        found = dealt.repartitionById(-(-blocks // passes), "block").groupBy("block").applyInPandas(_product(num, den), "a long, b long")
+        with short_shuffles(spark):
+            found.write.mode("append").parquet(near)
+    drop(spark, kept)
     # a pair may come from several blocks; few are left here
+    reps = members.groupBy("key").agg(F.min("id").alias("rep"))
     rep = lambda s: reps.select(F.col("key").alias(s), F.col("rep").alias(f"rep_{s}"))
-    left = cut(apart(left.select("a", "b").distinct()).join(apart(rep("a")), "a").join(apart(rep("b")), "b"))
+    left = spark.read.schema("a long, b long").parquet(near).distinct()
+    left = cut(apart(left).join(apart(rep("a")), "a").join(apart(rep("b")), "b"))
     ids = left.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
     wanted = spark.sparkContext.broadcast(_id_filter(ids))
     sets = texts.mapInPandas(_sets(n, min_words, wanted), "id long, grams array<long>").dropDuplicates(["id"])

@@ -85,3 +85,31 @@ def test_levels_have_no_ceiling():
     level, fine = nd._levels(counts)
     assert level.max() == 255 and np.all(np.diff(level.astype(int)) > 0)
     assert nd._salts(fine)[level[-1]] > 0.8 * 10**12 / nd.HOT
+
+
+def test_passes_over_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "PASS_GRAMS", 500)
+    rows = corpus(seed=5)
+    assert found(spark, rows)[2] == brute(rows)
+
+
+def test_far_pairs_of_a_block_are_not_written():
+    """Two texts that share their rarest column alone, and two near ones: only the near pair leaves the block."""
+    import zlib
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    run = "one rare run"
+    far = [run + " " + " ".join(f"{x}{k}" for k in range(40)) for x in "ab"]
+    near = [run + " " + " ".join(f"c{k}" for k in range(40)) + end for end in ("", " more")]
+    level = np.full(nd.SKETCH, 255, dtype=np.uint8)
+    g, _, _ = nd._grams([run], nd.WordHash(), 3, 3)
+    level[nd._slot(g & nd._MASK)] = 0
+    texts = pd.DataFrame({"id": range(4), "text": far + near})
+    kept = list(nd._rows(3, 20, 3, 5, SimpleNamespace(value=zlib.compress(level.tobytes())))(iter([texts])))
+    dealt = [x for turn in range(3) for x in nd._deal(3, 5, 255.0, 3, 3, turn)(iter(kept))]
+    pairs = pd.concat([nd._product(3, 5)(x) for x in dealt]).drop_duplicates()
+    _, key, _ = nd._grams(near, nd.WordHash(), 3, 20)
+    assert pairs.to_numpy().tolist() == [sorted(key.tolist())]
