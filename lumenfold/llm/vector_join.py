@@ -3,7 +3,8 @@
 Vectors of one group (same model, same length) are dealt to blocks by a hash of their class; a tile is a pair of blocks and a
 task of its own. A block's rows are quantised to int8, each with its scale; a tile multiplies the int8 images (as whole numbers, which
 the floating-point multiplier adds up exactly), and the norm of the rows' quantisation errors bounds how far a product may lie
-from the true cosine. Pairs that can't reach the floor, or can't be among the k best of either row, by these bounds are
+from the true cosine. The product is formed on the tile's leading axes only, as many as are cheapest; the norms of what is left
+of both rows bound the rest, so a pair that this excludes can't reach the floor. Pairs that can't reach the floor, or can't be among the k best of either row, by these bounds are
 dropped; the others are computed again in double precision. Each row keeps its k best in a bounded heap, which a pair enters
 only by beating its least; the tiles' heaps are merged by a top-k window that keeps k rows per key before it shuffles.
 
@@ -36,6 +37,8 @@ CELLS = 1 << 22
 SUB = 1024
 #: Pairs computed in double precision at once.
 STEP = 100_000
+#: What computing a pair again costs, as a multiple of one dimension in the product.
+DOUBT = 7000
 
 
 def usable(df: DataFrame, id_col: str, group_col: str, dims_col: str, vector_col: str) -> DataFrame:
@@ -67,14 +70,60 @@ def _unpack(rows: int, dims: int, payload: bytes) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(b, dtype=np.int64, count=rows), np.ascontiguousarray(planes.T).view(np.float32).reshape(rows, dims)
 
 
-def quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Unit rows in double precision; their int8 images; the rows' scales; the greatest norm of a row's quantisation error."""
+def unit(m: np.ndarray) -> np.ndarray:
+    """Unit rows in double precision."""
     x = m.astype(np.float64)
     x /= np.abs(x).max(axis=1)[:, None]  # no overflow in the norm
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    scale = np.abs(x).max(axis=1) / 127.0
+    return x
+
+
+def _image(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """int8 images of rows; the rows' scales; the greatest norm of a row's quantisation error."""
+    scale = np.maximum(np.abs(x).max(axis=1), 1e-6) / 127.0
     image = np.rint(x / scale[:, None]).astype(np.int8)
-    return x, image, scale, float(np.sqrt(((x - image * scale[:, None]) ** 2).sum(axis=1)).max())
+    return image, scale, float(np.sqrt(((x - image * scale[:, None]) ** 2).sum(axis=1)).max())
+
+
+def quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Unit rows in double precision; their int8 images; the rows' scales; the greatest norm of a row's quantisation error."""
+    x = unit(m)
+    return x, *_image(x)
+
+
+def _axes(xa: np.ndarray, xb: np.ndarray, floor: float) -> np.ndarray | None:
+    """Orthonormal axes (columns) on which the product is cheapest: few, yet so many that the parts beyond them seldom leave a
+    pair in doubt. None: all dimensions. A choice of cost only, made on a sample."""
+    d = xa.shape[1]
+    if floor <= 0 or d < 16:
+        return None
+    if d <= 256:
+        axes = np.linalg.eigh(xa.T @ xa + xb.T @ xb)[1][:, ::-1]
+    else:
+        start = np.random.default_rng(0).normal(size=(d, 128))
+        axes = np.linalg.qr(xa.T @ (xa @ start) + xb.T @ (xb @ start))[0]
+    a, b = (x[:: max(1, len(x) // n)][:n] @ axes for x, n in ((xa, 128), (xb, 256)))
+    product, ra, rb, best, least = 0.0, np.ones(len(a)), np.ones(len(b)), None, float(d)
+    for m in range(8, axes.shape[1] + 1, 8):
+        p, q = a[:, m - 8 : m], b[:, m - 8 : m]
+        product, ra, rb = product + p @ q.T, ra - (p * p).sum(axis=1), rb - (q * q).sum(axis=1)
+        doubt = np.sqrt(np.maximum(ra, 0))[:, None] * np.sqrt(np.maximum(rb, 0))
+        cost = m + 2 + DOUBT * np.count_nonzero(product + doubt >= floor - 0.02) / product.size
+        if cost < least:
+            best, least = m, cost
+    return None if best is None else np.ascontiguousarray(axes[:, :best])
+
+
+def _bounds(xa: np.ndarray, xb: np.ndarray, axes: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose product is negative for no pair that reaches the floor: int8 images on the axes, and two columns. With P the
+    part on the axes and R the rest, x * y <= Px * Py + |Rx| |Ry|; the last column brings the floor, over both rows' scales."""
+    pa, pb = xa @ axes, xb @ axes
+    (qa, sa, ea), (qb, sb, eb) = _image(pa), _image(pb)
+    rest = lambda x, p: np.sqrt(np.maximum(((x - p @ axes.T) ** 2).sum(axis=1), 0.0))
+    slack = ea * (1 + eb) + eb + 1e-5 + 4e-7 * axes.shape[1]  # the last two: rounding of single precision
+    left = np.concatenate([qa, (rest(xa, pa) / sa)[:, None], ((slack - floor) / sa)[:, None]], axis=1)
+    right = np.concatenate([qb, (rest(xb, pb) / sb)[:, None], (1 / sb)[:, None]], axis=1)
+    return left.astype(np.float32), right.astype(np.float32)
 
 
 def _best(x: np.ndarray, y: np.ndarray, c: np.ndarray, names: np.ndarray, k: int):
@@ -105,37 +154,72 @@ class _Heaps:
         self.least[self.x[full]] = self.c[full]
 
 
+def _reach(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places of the products that aren't negative, formed in pieces that stay in a core's cache; None: more than STEP."""
+    xs, ys, many = [], [], 0
+    for i in range(0, len(a), SUB // 4):
+        for j in range(0, len(b), 2 * SUB):
+            g = a[i : i + SUB // 4] @ b[j : j + 2 * SUB].T
+            at = np.flatnonzero(g >= 0)
+            many += len(at)
+            if many > STEP:
+                return None
+            xs.append(at // g.shape[1] + i)
+            ys.append(at % g.shape[1] + j)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
 def _tile(names_a, m_a, names_b, m_b, k: int, floor: float) -> pd.DataFrame:
     """x, y, c: each row's k best of the other block (or of its own, if m_b is None)."""
     same = m_b is None
-    xa, qa, sa, ea = quantised(m_a)
-    xb, qb, sb, eb = (xa, qa, sa, ea) if same else quantised(m_b)
+    xa = unit(m_a)
+    xb = xa if same else unit(m_b)
     if same:
         names_b = names_a
-    # products of whole numbers: their sums stay below 2**24 up to 1,040 dimensions, beyond that rounding is allowed for
-    slack = ea * (1 + eb) + eb + 1e-5 + 1e-7 * max(0, xa.shape[1] - 1040)
-    sa, sb = sa.astype(np.float32)[:, None], sb.astype(np.float32)
-    left, right = _Heaps(len(qa), k), _Heaps(len(qb), k)
-    fb = qb.astype(np.float32)
-    for i in range(0, len(qa), SUB):
-        fa = qa[i : i + SUB].astype(np.float32)
-        for j in range(i if same else 0, len(qb), 4 * SUB):
-            g = fa @ fb[j : j + 4 * SUB].T
-            g *= sb[j : j + 4 * SUB]
-            g *= sa[i : i + SUB]
-            hit = g >= floor - slack
-            if floor <= -1 or np.count_nonzero(hit) > STEP:
-                # rows that k others beat for certain needn't be computed again
-                if g.shape[1] > k:
-                    row = np.partition(g, g.shape[1] - k - 1, axis=1)[:, g.shape[1] - k - 1] - 2 * slack
-                else:
-                    row = np.full(g.shape[0], -np.inf)
-                if g.shape[0] > k:
-                    col = np.partition(g, g.shape[0] - k - 1, axis=0)[g.shape[0] - k - 1] - 2 * slack
-                else:
-                    col = np.full(g.shape[1], -np.inf)
-                hit &= (g >= row[:, None]) | (g >= col[None, :])
-            x, y = np.nonzero(hit)
+    left, right = _Heaps(len(xa), k), _Heaps(len(xb), k)
+    axes = _axes(xa, xb, floor)
+    few = None if axes is None else _bounds(xa, xb, axes, floor)
+    whole = None
+    held: list[tuple] = []
+
+    def flush() -> None:
+        if not held:
+            return
+        a, b, c = map(np.concatenate, zip(*held))
+        held.clear()
+        if same:
+            left.add(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([c, c]), names_b)
+        else:
+            left.add(a, b, c, names_b)
+            right.add(b, a, c, names_a)
+
+    for i in range(0, len(xa), SUB):
+        for j in range(i if same else 0, len(xb), 4 * SUB):
+            at = few and _reach(few[0][i : i + SUB], few[1][j : j + 4 * SUB])
+            if at:
+                x, y = at
+            else:
+                if whole is None:
+                    (qa, sa, ea), (qb, sb, eb) = whole = _image(xa), _image(xb)
+                    # products of whole numbers: their sums stay below 2**24 up to 1,040 dimensions, beyond that rounding is allowed for
+                    slack = ea * (1 + eb) + eb + 1e-5 + 1e-7 * max(0, xa.shape[1] - 1040)
+                    sa, sb, fb = sa.astype(np.float32)[:, None], sb.astype(np.float32), qb.astype(np.float32)
+                g = qa[i : i + SUB].astype(np.float32) @ fb[j : j + 4 * SUB].T
+                g *= sb[j : j + 4 * SUB]
+                g *= sa[i : i + SUB]
+                hit = g >= floor - slack
+                if floor <= -1 or np.count_nonzero(hit) > STEP:
+                    # rows that k others beat for certain needn't be computed again
+                    if g.shape[1] > k:
+                        row = np.partition(g, g.shape[1] - k - 1, axis=1)[:, g.shape[1] - k - 1] - 2 * slack
+                    else:
+                        row = np.full(g.shape[0], -np.inf)
+                    if g.shape[0] > k:
+                        col = np.partition(g, g.shape[0] - k - 1, axis=0)[g.shape[0] - k - 1] - 2 * slack
+                    else:
+                        col = np.full(g.shape[1], -np.inf)
+                    hit &= (g >= row[:, None]) | (g >= col[None, :])
+                x, y = np.nonzero(hit)
             x, y = x + i, y + j
             if same:
                 ok = x < y
@@ -144,12 +228,10 @@ def _tile(names_a, m_a, names_b, m_b, k: int, floor: float) -> pd.DataFrame:
                 a, b = x[s : s + STEP], y[s : s + STEP]
                 c = np.minimum(1.0, np.einsum("ij,ij->i", xa[a], xb[b]))
                 ok = c >= floor
-                a, b, c = a[ok], b[ok], c[ok]
-                if same:
-                    left.add(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([c, c]), names_b)
-                else:
-                    left.add(a, b, c, names_b)
-                    right.add(b, a, c, names_a)
+                held.append((a[ok], b[ok], c[ok]))
+                if sum(len(h[0]) for h in held) > STEP:
+                    flush()
+    flush()
     out = [pd.DataFrame({"x": names_a[left.x], "y": names_b[left.y], "c": left.c})]
     if not same:
         out.append(pd.DataFrame({"x": names_b[right.x], "y": names_a[right.y], "c": right.c}))

@@ -83,3 +83,42 @@ def test_heaps_keep_the_best():
 
 def test_empty(spark):
     assert run(spark, []) == set()
+
+
+def test_product_on_few_axes_loses_no_pair():
+    """Clusters about the floor in 96 dimensions: less than half of the axes are multiplied, no pair at the floor is excluded,
+    and few others are computed again; the tile's lists are those of all products."""
+    rng = np.random.default_rng(4)
+    centres = np.repeat(rng.normal(size=(300, 96)), 4, axis=0)
+    m = (centres + rng.normal(size=centres.shape) * rng.uniform(0.1, 0.8, size=(1200, 1))).astype(np.float32)
+    m = m[rng.permutation(len(m))]
+    m[5] = 0
+    m[5, 9] = 1
+    a, b = m[:500], m[500:]
+    x, y = vj.unit(a), vj.unit(b)
+    axes = vj._axes(x, y, 0.82)
+    assert axes is not None and axes.shape[1] < 60
+    left, right = vj._bounds(x, y, axes, 0.82)
+    kept, true = left @ right.T >= 0, x @ y.T >= 0.82
+    assert true.sum() > 100 and not (true & ~kept).any() and kept.sum() < true.sum() + 0.01 * kept.size
+    names = rng.permutation(1200)
+    for tile, rows, others in ((vj._tile(names[:500], a, names[500:], b, 2, 0.82), m, None), (vj._tile(names, m, None, None, 2, 0.82), m, m)):
+        c = vj.unit(rows) @ vj.unit(rows).T
+        np.fill_diagonal(c, -1)
+        if others is None:
+            c[:500, :500] = c[500:, 500:] = -1
+        want = {(names[p], names[q]) for p in range(1200) for q in sorted(np.flatnonzero(c[p] >= 0.82), key=lambda q: (-round(c[p, q], 12), names[q]))[:2]}
+        assert set(zip(tile["x"], tile["y"])) == want
+
+
+def test_tile_of_many_dimensions_and_of_crowds():
+    rng = np.random.default_rng(6)
+    wide = np.repeat(rng.normal(size=(60, 400)), 2, axis=0) + rng.normal(size=(120, 400)) * 0.3
+    crowd = np.ones((700, 32)) + rng.normal(size=(700, 32)) * 0.05  # each pair reaches the floor
+    for m in (wide.astype(np.float32), crowd.astype(np.float32)):
+        n = np.arange(len(m))
+        got = vj._tile(n, m, None, None, 3, 0.82)
+        c = vj.unit(m) @ vj.unit(m).T
+        np.fill_diagonal(c, -1)
+        want = {(p, q) for p in n for q in sorted(np.flatnonzero(c[p] >= 0.82), key=lambda q: (-round(c[p, q], 12), q))[:3]}
+        assert set(zip(got["x"], got["y"])) == want
